@@ -44,6 +44,10 @@ def gram_hashes(w: Column, k: int) -> Column:
     return F.transform(_run(0, F.size(w) - k), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))))
 
 
+def slice_hashes(w: Column, n: int) -> Column:
+    return F.transform(_run(0, F.size(w) - n), lambda i: F.xxhash64(F.slice(w, i + 1, n)))
+
+
 def window_minima(h: Column) -> Column:
     return F.transform(_run(0, F.size(h) - W), lambda i: F.least(*(F.get(h, i + j) for j in range(W))))
 
@@ -93,7 +97,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_co
             parts.append(found.where(spelled(F.col("ctx"), F.col("o"), N) == F.col("win")).withColumn("at", F.col("at0") + F.col("o")))
     for n in sorted(set(counts) - {N}):
         own = distinct.where(F.col("n") == n)
-        grams = d.withColumn("h", F.transform(_run(0, F.size("w") - n), lambda i, n=n: F.xxhash64(F.slice("w", i + 1, n))))
+        grams = d.withColumn("h", slice_hashes(F.col("w"), n))
         at = grams.select("key", "w", F.posexplode_outer("h").alias("at", "fp"))
         if small:
             parts.append(at.join(F.broadcast(own), "fp").where(spelled(F.col("w"), F.col("at"), n) == F.col("win")))

@@ -3,7 +3,7 @@
 The host is what stands between the first `://` and the next `/`, `?`, `#` or the end, with A-Z lower-cased; the path follows up
 to `?`, `#` or the end. A rule (host, path) fits its host and all subdomains if the path starts with its path; of
 several the longest wins. URLs that a rule decides are the labelled ones: from the counts over all of them come
-smoothed block rates by suffix, and a sample of at most ``TRAIN_ROWS`` of them (those with the smallest hash)
+smoothed block rates by suffix and by first path segment, and a sample of at most ``TRAIN_ROWS`` of them (those with the smallest hash)
 trains the trees. The trees judge every URL that no rule fits; without labels of both kinds the more frequent
 label is given, and `allow` without any.
 
@@ -53,6 +53,11 @@ def suffix_bucket(host: str) -> int:
     return zlib.crc32(host.rsplit(".", 1)[-1].encode()) % SUFFIX_BUCKETS
 
 
+def segment_bucket(path: str) -> int:
+    """Of the path's first segment; these follow the suffixes' buckets."""
+    return SUFFIX_BUCKETS + zlib.crc32(path.removeprefix("/").partition("/")[0].encode()) % SUFFIX_BUCKETS
+
+
 def lexical(url: str, host: str, path: str, rates: dict[int, float], overall: float) -> list[float]:
     n = len(url)
     counts = Counter(url)
@@ -62,7 +67,7 @@ def lexical(url: str, host: str, path: str, rates: dict[int, float], overall: fl
     return [
         n, len(path), len(parts), sum(map(url.count, "0123456789")) / max(1, n), entropy, query.count("&") + 1 if query else 0,
         host.count("."), len(host), max(map(len, parts), default=0), len(parts[0]) if parts else 0, float("." in (parts[-1] if parts else "")),
-        rates.get(suffix_bucket(host), overall),
+        rates.get(suffix_bucket(host), overall), rates.get(segment_bucket(path), overall),
     ]
 
 
@@ -133,14 +138,16 @@ def parsed(df: DataFrame, id_col: str, url_col: str, rules=RULES) -> DataFrame:
 
 
 def trained(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[int, float], float, Trees]:
-    """Suffix rates over all labelled rows (at most SUFFIX_BUCKETS of them), the overall rate, and the trees."""
-    bucket = F.pmod(F.crc32(F.element_at(F.split("host", r"\."), -1).cast("binary")), F.lit(SUFFIX_BUCKETS))
-    counts = labelled.groupBy(bucket.cast("int").alias("k")).agg(F.count("*").alias("n"), F.sum((F.col("verdict") == "block").cast("int")).alias("bad")).collect()
+    """Block rates by suffix and by first path segment over all labelled rows (in 2 * SUFFIX_BUCKETS buckets), the
+    overall rate, and the trees."""
+    bucket = lambda c: F.pmod(F.crc32(c.cast("binary")), F.lit(SUFFIX_BUCKETS)).cast("int")
+    suffix, segment = F.element_at(F.split("host", r"\."), -1), F.regexp_extract("path", "^/?([^/]*)", 1)
+    counts = labelled.select(F.explode(F.array(bucket(suffix), bucket(segment) + SUFFIX_BUCKETS)).alias("k"), "verdict").groupBy("k").agg(F.count("*").alias("n"), F.sum((F.col("verdict") == "block").cast("int")).alias("bad")).collect()
     n, bad = sum(c["n"] for c in counts), sum(c["bad"] for c in counts)
     overall = bad / n if n else 0.0
     rates = {c["k"]: (c["bad"] + 10 * overall) / (c["n"] + 10) for c in counts}
     rows = labelled.select("url", "host", "path", "verdict").orderBy(F.xxhash64("url"), "url").limit(train_rows).collect()
-    x = np.array([lexical(r["url"], r["host"], r["path"], rates, overall) for r in rows], float).reshape(len(rows), -1)
+    x = np.array([lexical(r["url"], r["host"], r["path"], rates, overall) for r in rows], float)
     y = np.array([r["verdict"] == "block" for r in rows], float)
     return rates, overall, Trees().fit(x, y) if len(rows) else Trees()
 
