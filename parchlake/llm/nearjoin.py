@@ -12,7 +12,7 @@ among the first n - ceil(0.8 n) + c of either set, and this is where partners me
 
 The order puts shingles that are frequent (in a fixed table of ``TABLE_BITS`` bits, from counts over all documents)
 last, so a passage that many documents share is no meeting place for them. Two entries of a list are a candidate
-only if their sizes and positions allow a link. Lists of up to ``LIST`` entries give all candidates; longer ones
+only if their sizes, and the number of meeting places that they share, allow a link. Lists of up to ``LIST`` entries give all candidates; longer ones
 give each entry with its neighbour and with the first, and once these are joined into components, only candidates
 between different components (none within a group of near copies, which is never expanded). Candidates are
 checked on the whole sets. Equal sets are one node from the start and never expanded. Components come from
@@ -200,14 +200,15 @@ def _scanned(entries: DataFrame, boundary: int, across: bool = False) -> DataFra
                 js = np.arange(i + 1, ends[i])
                 if single:
                     js = js[n[js] > boundary]  # two small sets meet in a subset
-                js = js[_may_link(n[i], at[i], n[js], at[js]) & apart(i, js)] if len(js) else js
+                if across and len(js):
+                    js = js[_may_link(n[i], at[i], n[js], at[js]) & apart(i, js)]
                 if len(js):
-                    yield np.full(len(js), node[i]), node[js], None
+                    yield np.full(len(js), node[i]), node[js], (np.full(len(js), n[i]), n[js])
             return
         i = np.arange(m - 1)
         for x, y in ((i, i + 1), (np.zeros(m - 1, int), i + 1)):
             ok = _may_link(n[x], at[x], n[y], at[y])
-            yield node[x][ok], node[y][ok], None
+            yield node[x][ok], node[y][ok], (n[x][ok], n[y][ok])
         yield node, None, (np.full(m, key), n, at)
 
     def fn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +219,10 @@ def _scanned(entries: DataFrame, boundary: int, across: bool = False) -> DataFra
             for a, b, more in out:
                 m = len(a)
                 none = pa.nulls(m, pa.int64())
-                cols = [pa.array(a), none if b is None else pa.array(b), *((none, none, pa.nulls(m, pa.int32())) if more is None else (pa.array(more[0]), pa.array(more[1]), pa.array(more[2].astype(np.int32)))), none]
+                if b is None:
+                    cols = [pa.array(a), none, pa.array(more[0]), pa.array(more[1]), pa.array(more[2].astype(np.int32)), none]
+                else:  # n and comp hold the sizes of a and b
+                    cols = [pa.array(a), pa.array(b), none, pa.array(more[0]), pa.nulls(m, pa.int32()), pa.array(more[1])]
                 yield pa.RecordBatch.from_arrays(cols, ["a", "b", "key", "n", "at", "comp"])
             out.clear()
 
@@ -227,11 +231,7 @@ def _scanned(entries: DataFrame, boundary: int, across: bool = False) -> DataFra
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 keep = ~again[s:e]  # a node comes once for each task that saw it
                 if keep.sum() > 1:
-                    found = list(of_list(int(cols[0][s]), *(c[s:e][keep] for c in cols[1:])))
-                    if found and found[0][2] is None and len(found) > 1 and found[-1][2] is None:
-                        out.append((np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]), None))
-                    else:
-                        out.extend(found)
+                    out.extend(of_list(int(cols[0][s]), *(c[s:e][keep] for c in cols[1:])))
 
         for b in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -253,16 +253,33 @@ def _scanned(entries: DataFrame, boundary: int, across: bool = False) -> DataFra
 
 def _joined(out: list[tuple], made) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     """What lists have given, as few batches."""
-    pairs = [x for x in out if x[2] is None]
-    rows = [x for x in out if x[2] is not None]
+    pairs = [x for x in out if x[1] is not None]
+    rows = [x for x in out if x[1] is None]
     out.clear()
-    if pairs:
-        out.append((np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs]), None))
-    if rows:
-        out.append((np.concatenate([x[0] for x in rows]), None, tuple(np.concatenate([x[2][k] for x in rows]) for k in range(3))))
+    for own in (pairs, rows):
+        if own:
+            b = np.concatenate([x[1] for x in own]) if own is pairs else None
+            out.append((np.concatenate([x[0] for x in own]), b, tuple(map(np.concatenate, zip(*(x[2] for x in own), strict=True)))))
     yield from made()
 
 
+def _countable(pairs: DataFrame, long: DataFrame, boundary: int) -> DataFrame:
+    """The pairs that may link by the number c of meeting places that they share.
+
+    All common elements up to the end of the shorter head (in the order) were counted, but for those in long lists,
+    of which there are at most as many as either set has. So the overlap is at most c, plus these, plus what is
+    behind a head. Two small sets meet in subsets, which are not counted so; they stay.
+    """
+    hidden = cut(long.groupBy("a").agg(F.count("*").alias("k")), "long-counts")
+    of = lambda c: hidden.select(F.col("a").alias(c), F.col("k").alias(f"k{c}"))
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    behind = lambda c: F.ceil(F.col(c) * PERCENT / 100) - 1
+    most = F.col("c") + F.least(F.coalesce("ka", F.lit(0)), F.coalesce("kb", F.lit(0))) + F.greatest(behind("na"), behind("nb"))
+    need = F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT))
+    small = (F.col("na") <= boundary) & (F.col("nb") <= boundary)
+    return pairs.where(small | (most >= need)).select("a", "b", "c")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
@@ -277,7 +294,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         small = edges.join(least, "u")
         edges = cut(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct(), "edges")
@@ -297,8 +314,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broa
     entries = described.where(F.col("keys").isNotNull()).select("node", F.col("n"), F.explode(F.arrays_zip("keys", "at")).alias("x"))
     entries = entries.select(F.col("x.keys").alias("key"), "n", "node", F.col("x.at").alias("at"), F.lit(None).cast("long").alias("comp"))
     found = cut(_scanned(entries, boundary), "candidates")
-    pairs = cut(found.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("c")), "pairs")
     long = found.where("b is null")
+    pairs = found.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("na"), F.first("comp").alias("nb"))
+    pairs = cut(_countable(pairs, long, boundary), "pairs")
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select(F.col("a").alias("node"))).distinct(), "candidate-nodes")
     texts = cut(described.join(_if_small(nodes, broadcast_rows), "node", "left_semi").groupBy("node").agg(F.min("th").alias("th")).select("th").distinct(), "candidate-texts")
 
