@@ -14,7 +14,9 @@ results; an empty table gives an empty result; columns other than the two named
 from __future__ import annotations
 
 import hashlib
-import heapq
+from heapq import heapify, heappop, heappush
+from itertools import chain
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,40 +45,37 @@ class Vocabulary:
         self.byte_ids = {b: i for i, b in self.byte_of.items()}
         plain = [i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
-        self.scores = {self.pieces[i]: sp.get_score(i) for i in plain}
+        self.costs = {self.pieces[i]: -sp.get_score(i) for i in plain}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has the space mark inside; texts cannot be split at marks")
-        self.segments = Remembered(self._segment)
+        self.breaks = not any("\n" in p for p in self.ids)
+        self.segments, self.bare = Remembered(self._segment, 800_000), Remembered(self._made, 200_000)
 
     def agenda(self, segment: str) -> list[int]:
         """Ids of one segment, by merging the best pair first."""
-        symbols: list[str | None] = list(segment)
-        n, scores = len(symbols), self.scores
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap: list[tuple[float, int, int, int]] = []
-
-        def offer(left: int, right: int) -> None:
-            a, b = symbols[left], symbols[right]
-            if (score := scores.get(a + b)) is not None:
-                heapq.heappush(heap, (-score, left, right, len(a) + len(b)))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
+        symbols: list[str] = list(segment)  # a merged symbol's right part becomes empty
+        n, cost = len(symbols), self.costs.get
+        heap = [(c, i, i + 1, 2) for i, pair in enumerate(map(add, symbols, symbols[1:])) if (c := cost(pair)) is not None]
+        if heap:
+            heapify(heap)
+            before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while heap:
-            _, left, right, size = heapq.heappop(heap)
+            _, left, right, size = heappop(heap)
             a, b = symbols[left], symbols[right]
-            if a is None or b is None or len(a) + len(b) != size:
+            if not a or not b or len(a) + len(b) != size:
                 continue
-            symbols[left], symbols[right] = a + b, None
+            a += b
+            symbols[left], symbols[right] = a, ""
             after[left] = k = after[right]
             if k < n:
                 before[k] = left
-                offer(left, k)
-            if before[left] >= 0:
-                offer(before[left], left)
+                if (c := cost(a + symbols[k])) is not None:
+                    heappush(heap, (c, left, k, size + len(symbols[k])))
+            if (k := before[left]) >= 0 and (c := cost(symbols[k] + a)) is not None:
+                heappush(heap, (c, k, left, size + len(symbols[k])))
         out: list[int] = []
         for s in symbols:
-            if s is not None:
+            if s:
                 if (i := self.ids.get(s)) is not None:
                     out.append(i)
                 else:
@@ -99,15 +98,27 @@ class Vocabulary:
     def decode(self, ids: list[int]) -> str:
         return self.spelled(ids).removeprefix(" ")
 
-    def _segment(self, rest: str) -> tuple[str, str]:
-        """A segment without its last mark: ids joined by commas, and the decoded text."""
-        ids = self.agenda((MARK if not rest.startswith(" ") else "") + rest.replace(" ", MARK))
-        return ",".join(map(str, ids)), self.spelled(ids)
-
-    def encoded(self, text: str) -> tuple[str, str]:
-        """Ids joined by commas, and the decoded text."""
+    def _made(self, segment: str) -> tuple[str, str, tuple[int, ...]]:
+        ids = tuple(self.agenda(segment))
+        return ",".join(map(str, ids)), self.spelled(ids), ids
+
+    def _segment(self, rest: str) -> tuple[str, str, tuple[int, ...]]:
+        """A segment without its last mark: ids joined by commas, the decoded text, and the ids.
+
+        No merge crosses a line break if no piece has one, so the lines inside a segment are looked up by themselves.
+        """
+        if self.breaks and "\n" in rest:
+            head, *lines = rest.split("\n")
+            parts = [self.segments[head] if head else self._made(MARK)]
+            for line in lines:
+                parts += [self.bare["\n"], self.bare[line]] if line else [self.bare["\n"]]
+            return ",".join([x[0] for x in parts]), "".join([x[1] for x in parts]), tuple(chain.from_iterable([x[2] for x in parts]))
+        return self._made((MARK if not rest.startswith(" ") else "") + rest.replace(" ", MARK))
+
+    def encoded(self, text: str) -> tuple[str, str, list[int]]:
+        """Ids joined by commas, the decoded text, and the ids."""
         if not text:
-            return "", ""
+            return "", "", []
         if MARK in text:
             text = text.replace(MARK, " ")
         words = text.split(" ")
@@ -120,7 +131,8 @@ class Vocabulary:
                     marks = 0
             words = joined + ([" " * marks] if marks else [])
         got = [self.segments[w] for w in words]
-        return ",".join([a for a, _ in got]), "".join([b for _, b in got]).removeprefix(" ")
+        joined, spelled, ids = zip(*got, strict=True)
+        return ",".join(joined), "".join(spelled).removeprefix(" "), list(chain.from_iterable(ids))
 
 
 _READ: dict[str, Vocabulary] = {}
@@ -141,14 +153,19 @@ def encode_texts(df: DataFrame, model_path: str | None = None, id_col: str = "do
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary(proto.value)
         texts = [t or "" for t in b.column(1).to_pylist()]
-        got = [v.encoded(t) for t in texts]
-        for k in range(0, len(texts) if check else 0, 256):
-            theirs = v.library.encode(texts[k : k + 256], num_threads=1)
-            for (ids, decoded), right, again in zip(got[k : k + 256], theirs, v.library.decode(theirs, num_threads=1), strict=True):
-                if ids != ",".join(map(str, right)) or decoded != again:
+        joined, decoded, n = [], [], []
+        for k in range(0, len(texts), 64):  # the lists of ids are large, so few texts at a time
+            part = texts[k : k + 64]
+            own = [v.encoded(t) for t in part]
+            if check:
+                theirs = v.library.encode(part, num_threads=1)
+                if [ids for _, _, ids in own] != theirs or [d for _, d, _ in own] != v.library.decode(theirs, num_threads=1):
                     raise ValueError("the agenda and the sentencepiece library differ")
-        n = [ids.count(",") + 1 if ids else 0 for ids, _ in got]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([a for a, _ in got]), pa.array([d for _, d in got])], ["id", "n_tokens", "ids", "decoded"])
+            for a, d, ids in own:
+                joined.append(a)
+                decoded.append(d)
+                n.append(len(ids))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(joined), pa.array(decoded)], ["id", "n_tokens", "ids", "decoded"])
 
     out = mapped(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), fn, f"id {kind}, n_tokens long, ids string, decoded string")
     return out.withColumnRenamed("id", id_col)
