@@ -146,14 +146,20 @@ def write_text_pdfs(pages: DataFrame, doc_col: str, page_col: str, text_col: str
     return docs.mapInArrow(fn, f"doc {kind}, content binary").withColumnRenamed("doc", doc_col)
 
 
+def _tupled(v: object) -> object:
+    if isinstance(v, list):
+        return [_tupled(x) for x in v]
+    return tuple(v.values()) if isinstance(v, dict) else v
+
+
 class _Part(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.options = options
+    def __init__(self, options: dict, names: list[str]) -> None:
+        self.options, self.names = options, names
 
     def partitions(self) -> list[InputPartition]:
         import glob
@@ -165,11 +171,10 @@ class _Reader(DataSourceReader):
 
     def read(self, part: _Part) -> Iterator[tuple]:
         level = self.options.get("level", "text")
-        names = [f.name for f in T._parse_datatype_string(SCHEMAS[level]).fields]
         with open(part.path, "rb") as f:
             data = f.read()
         for row in rows_of(level, part.path, data, self.options.get("password", "")):
-            yield tuple(row.get(n) if not isinstance(row.get(n), dict) else tuple(row[n].values()) for n in names)
+            yield tuple(_tupled(row.get(n)) for n in self.names)
 
 
 class _Writer(DataSourceWriter):
@@ -204,7 +209,7 @@ class PdfDataSource(DataSource):
         return SCHEMAS[self.options.get("level", "text")]
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        return _Reader(dict(self.options), schema.names)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         return _Writer(dict(self.options))
