@@ -13,6 +13,7 @@ results; an empty table gives an empty result; columns other than the two named
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -154,17 +155,21 @@ def encode_texts(df: DataFrame, model_path: str | None = None, id_col: str = "do
         v = vocabulary(proto.value)
         texts = [t or "" for t in b.column(1).to_pylist()]
         joined, decoded, n = [], [], []
-        for k in range(0, len(texts), 64):  # the lists of ids are large, so few texts at a time
-            part = texts[k : k + 64]
-            own = [v.encoded(t) for t in part]
-            if check:
-                theirs = v.library.encode(part, num_threads=1)
-                if [ids for _, _, ids in own] != theirs or [d for _, d, _ in own] != v.library.decode(theirs, num_threads=1):
-                    raise ValueError("the agenda and the sentencepiece library differ")
-            for a, d, ids in own:
-                joined.append(a)
-                decoded.append(d)
-                n.append(len(ids))
+        gc.disable()  # nothing here makes cycles, and a collection would walk through all that is remembered
+        try:
+            for k in range(0, len(texts), 64):  # the lists of ids are large, so few texts at a time
+                part = texts[k : k + 64]
+                own = [v.encoded(t) for t in part]
+                if check:
+                    theirs = v.library.encode(part, num_threads=1)
+                    if [ids for _, _, ids in own] != theirs or [d for _, d, _ in own] != v.library.decode(theirs, num_threads=1):
+                        raise ValueError("the agenda and the sentencepiece library differ")
+                for a, d, ids in own:
+                    joined.append(a)
+                    decoded.append(d)
+                    n.append(len(ids))
+        finally:
+            gc.enable()
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(joined), pa.array(decoded)], ["id", "n_tokens", "ids", "decoded"])
 
     out = mapped(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), fn, f"id {kind}, n_tokens long, ids string, decoded string")
