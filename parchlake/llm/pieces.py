@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
 from operator import add
@@ -23,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, mapped, table
+from .common import Remembered, table
 
 MARK = "▁"
+#: Remembered segments that a task may leave for the next one.
+LEFT = 100_000
 
 
 def default_model() -> str:
@@ -52,6 +55,12 @@ class Vocabulary:
         self.breaks = not any("\n" in p for p in self.ids)
         self.segments, self.bare = Remembered(self._segment, 800_000), Remembered(self._made, 200_000)
 
+    def forget(self) -> None:
+        """Drops what is remembered beyond a small part; other operators' tasks run in the same worker afterwards."""
+        for memo in (self.segments, self.bare):
+            if len(memo) > LEFT:
+                memo.clear()
+
     def agenda(self, segment: str) -> list[int]:
         """Ids of one segment, by merging the best pair first."""
         symbols: list[str] = list(segment)  # a merged symbol's right part becomes empty
@@ -172,7 +181,15 @@ def encode_texts(df: DataFrame, model_path: str | None = None, id_col: str = "do
             gc.enable()
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(joined), pa.array(decoded)], ["id", "n_tokens", "ids", "decoded"])
 
-    out = mapped(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), fn, f"id {kind}, n_tokens long, ids string, decoded string")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for b in batches:
+                if b.num_rows:
+                    yield fn(b)
+        finally:
+            vocabulary(proto.value).forget()
+
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids string, decoded string")
     return out.withColumnRenamed("id", id_col)
 
 
