@@ -5,7 +5,7 @@ follows a credential word more loosely (`login: x`, `pwd x`, `pass is x`) is a s
 segmentation into words, dates, repeats, keyboard walks and brute-force spans needs at least ``MIN_BITS`` bits of
 guesses. That minimum is found by dynamic programming over the value's positions.
 
-Cases: a null text is empty and has no spans; whole texts are scanned, of any length; repeated rows give repeated
+Cases: a null text is empty and has no spans; whole texts are scanned, and values are whole, of any length; repeated rows give repeated
 results; an empty table gives an empty result; columns other than the two named are ignored.
 """
 
@@ -23,13 +23,12 @@ from .common import byte_texts, mapped, table
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_BITS = 28.0
-MAX_VALUE = 256
 
 _ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
 _ASSIGN_WORDS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-_CONTEXT = re.compile(rb"\b(passphrase|passcode|password|passwd|pass|pwd|secret|token|api_?key|login|credentials?|auth)\b[\"']?\x20*(?:[:=]\x20*|\x20(?:is|was)\x20+)[\"']?([^\x00-\x20\"'<>,;]{6,256})")
+_CONTEXT = re.compile(rb"\b(passphrase|passcode|password|passwd|pass|pwd|secret|token|api_?key|login|credentials?|auth)\b[\"']?\x20*(?:[:=]\x20*|\x20(?:is|was)\x20+)[\"']?([^\x00-\x20\"'<>,;]{6,}+)")
 _CONTEXT_WORDS = (b"pass", b"pwd", b"secret", b"token", b"api_key", b"apikey", b"login", b"credential", b"auth")
 
 #: Words that guessers try first, in the order of trial.
@@ -45,16 +44,18 @@ def _brute_bits(c: str) -> float:
     return math.log2(10 if c.isdigit() else 26 if c.isalpha() and c == c.lower() else 52 if c.isalpha() else 33)
 
 
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, enough: float = math.inf) -> float:
     """log2 of the guesses for the cheapest segmentation of the value.
 
     A segment costs: a common word its rank (and a bit for capitals); a date the number of dates; a repeat its
     unit's cost and its count; a keyboard walk its start and its length; any other character its alphabet. Each
     further segment costs one bit more. Every segment is looked at from its end, so the work is linear in the
-    value's length for words, dates and walks of bounded length.
+    value's length for words, dates and walks of bounded length. It stops where no way to go on costs less than
+    `enough`, and gives a cost of at least that.
     """
     low, n = value.lower(), len(value)
     best = [0.0] + [math.inf] * n
+    above = 0  # positions up to here, without a break, that cost enough
     run = walk = 0  # lengths of the repeat of one character and of the keyboard walk that end here
     for i in range(1, n + 1):
         c = low[i - 1]
@@ -75,6 +76,9 @@ def guess_bits(value: str) -> float:
         if walk >= 3:
             found.append((best[i - walk], math.log2(47) + math.log2(walk), i > walk))
         best[i] = min(b + s + more for b, s, more in found)
+        above = above + 1 if best[i] >= enough else 0
+        if above > 12 and best[i - run] >= enough and best[i - walk] >= enough:  # all that segments can begin at
+            return best[i]
     return best[n]
 
 
@@ -91,10 +95,11 @@ def scan(raw: bytes | None) -> list[tuple[int, int, str]]:
     found += [(*m.span(), 2) for m in _HEX.finditer(raw)]
     if any(w in low for w in _CONTEXT_WORDS):
         for m in _CONTEXT.finditer(low):
-            value = raw[slice(*m.span(2))].decode("utf-8", "replace").rstrip(".!?)")
+            span = raw[slice(*m.span(2))].rstrip(b".!?)")  # ends before an ASCII byte, so never inside a character
+            value = span.decode("utf-8", "replace")
             taken = any(k == 0 and s < m.end() and m.start() < e for s, e, k in found)
-            if not taken and len(value) >= 6 and any(not c.isalpha() for c in value) and guess_bits(value) >= MIN_BITS:
-                found.append((m.start(2), m.start(2) + len(value.encode()), 3))
+            if not taken and len(value) >= 6 and any(not c.isalpha() for c in value) and guess_bits(value, MIN_BITS) >= MIN_BITS:
+                found.append((m.start(2), m.start(2) + len(span), 3))
     found.sort(key=lambda x: (x[0], x[2], x[1]))
     if raw.isascii():
         return [(s, e, KINDS[k]) for s, e, k in found]

@@ -226,6 +226,20 @@ def test_guess_costs():
     assert g("x7#Kp2!qLz") > 40 and g("abcabcabc") < g("abcxyzkqp") and g("") == 0
 
 
+def test_long_values_are_secret_as_a_whole():
+    rnd = random.Random(8)
+    jwt = "eyJ" + "".join(rnd.choices("abcXYZ019_-.", k=700))
+    odd = "x" + "".join(rnd.choices("жшщюяы", k=200)) + "1"
+    hexes = "0123456789abcdef" * 2
+    text = f"auth: {jwt}, auth: {odd} then {hexes} é {hexes}"
+    at = [text.index(jwt), text.index(odd), text.index(hexes), text.rindex(hexes)]
+    want = [(a, a + len(t), k) for a, t, k in zip(at, (jwt, odd, hexes, hexes), ("guess", "guess", "hex", "hex"), strict=True)]
+    assert [x for x in secretscan.scan(text.encode()) if x[2] == "guess" or x[:2] in {w[:2] for w in want}] == want
+    assert secretscan.redacted(text, secretscan.scan(text.encode())) == "auth: [SECRET], auth: [SECRET] then [SECRET] é [SECRET]"
+    for v in ("x7#" * 30 + "a" * 500 + "Kq!9", "qwerty" * 40, "Zk3!" + "1" * 300):
+        assert (secretscan.guess_bits(v, 28.0) >= 28) == (secretscan.guess_bits(v) >= 28)
+
+
 def test_quality(spark):
     rnd = random.Random(4)
     texts = [*ODD, *(" ".join(rnd.choices(["a", "bb", "c*", "dé", "\n", "x y\n"], k=rnd.randrange(200))) for _ in range(60)), "clean words " + " ".join(f"w{i}x" for i in range(80))]
