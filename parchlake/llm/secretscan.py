@@ -2,8 +2,13 @@
 
 Base spans are regular: `assign`, `access` and `hex`. The method adds spans of the kind `guess`: a value that
 follows a credential word more loosely (`login: x`, `pwd x`, `pass is x`) is a secret if its cheapest
-segmentation into words, dates, repeats, keyboard walks and brute-force spans needs at least ``MIN_BITS`` bits of
-guesses. That minimum is found by dynamic programming over the value's positions.
+segmentation into words, dates, times, repeats, keyboard walks and brute-force spans needs at least ``MIN_BITS`` bits
+of guesses. That minimum is found by dynamic programming over the value's positions.
+
+Words are the passwords that guessers try first and then all pieces of a public vocabulary of many languages that
+consist of letters, ranked by its order; words that it lacks are composed of its pieces. So documents don't decide
+what is a word, and a secret that is copied often stays one. Of a URL only the costliest part counts, as the others
+are no secrets. Rare words (`hexadecimal`) and several words in a row (`correct-horse-battery`) can pass for secrets.
 
 Cases: a null text is empty and has no spans; whole texts are scanned, and values are whole, of any length; repeated rows give repeated
 results; an empty table gives an empty result; columns other than the two named are ignored.
@@ -11,6 +16,7 @@ results; an empty table gives an empty result; columns other than the two named
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -20,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_texts, mapped, table
+from .pieces import MARK, default_model, vocabulary
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_BITS = 28.0
@@ -36,23 +43,41 @@ COMMON_WORDS = "password admin welcome letmein dragon monkey master login secret
 #: Rows of a keyboard.
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?")
-_RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
+_TIME = re.compile(r"(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?")
+_URL = re.compile(r"(?:[a-z][a-z0-9+.-]*://|www\.)", re.I)
+#: What joins words within a value.
+JOINTS = "-_/.:+&="
 _NEXT = {(a, b) for row in KEY_ROWS for x, y in zip(row, row[1:], strict=False) for a, b in ((x, y), (y, x))}
 
 
+@functools.cache
+def word_ranks() -> tuple[dict[str, int], int]:
+    """(rank by word, length of the longest word); ranks start at 1."""
+    rank = {w: i for i, w in enumerate(COMMON_WORDS, 1)}
+    for piece in vocabulary(open(default_model(), "rb").read()).pieces:
+        w = piece.lstrip(MARK).lower()
+        if len(w) >= 2 and w.isalpha():
+            rank.setdefault(w, len(rank) + 1)
+    return rank, max(map(len, rank))
+
+
 def _brute_bits(c: str) -> float:
+    if c in JOINTS:
+        return math.log2(len(JOINTS))
     return math.log2(10 if c.isdigit() else 26 if c.isalpha() and c == c.lower() else 52 if c.isalpha() else 33)
 
 
-def guess_bits(value: str, enough: float = math.inf) -> float:
+def guess_bits(value: str, enough: float = math.inf, words: tuple[dict[str, int], int] | None = None) -> float:
     """log2 of the guesses for the cheapest segmentation of the value.
 
-    A segment costs: a common word its rank (and a bit for capitals); a date the number of dates; a repeat its
+    A segment costs: a word its rank (and a bit for capitals); a date or time the number of these; a repeat its
     unit's cost and its count; a keyboard walk its start and its length; any other character its alphabet. Each
     further segment costs one bit more. Every segment is looked at from its end, so the work is linear in the
     value's length for words, dates and walks of bounded length. It stops where no way to go on costs less than
     `enough`, and gives a cost of at least that.
     """
+    rank, longest = words or word_ranks()
+    reach = max(longest, 12)
     low, n = value.lower(), len(value)
     best = [0.0] + [math.inf] * n
     above = 0  # positions up to here, without a break, that cost enough
@@ -62,10 +87,12 @@ def guess_bits(value: str, enough: float = math.inf) -> float:
         run = run + 1 if i > 1 and value[i - 1] == value[i - 2] else 1
         walk = walk + 1 if i > 1 and (low[i - 2], c) in _NEXT else 1
         found = [(best[i - 1], _brute_bits(value[i - 1]), False)]
-        for k in range(3, min(i, 12) + 1):
+        for k in range(2, min(i, reach) + 1):
             w = low[i - k : i]
-            if w in _RANK:
-                found.append((best[i - k], math.log2(_RANK[w]) + (value[i - k : i] != w), i > k))
+            if w in rank:
+                found.append((best[i - k], math.log2(rank[w]) + (value[i - k : i] != w), i > k))
+            if k in (4, 5, 7, 8) and _TIME.fullmatch(w):
+                found.append((best[i - k], math.log2(86400 if k > 5 else 1440), i > k))
             if k in (4, 6, 7, 8, 10) and _DATE.fullmatch(w):
                 found.append((best[i - k], math.log2(200 * (12 if k > 4 else 1) * (31 if k > 7 else 1)), i > k))
         if run >= 3:
@@ -77,12 +104,21 @@ def guess_bits(value: str, enough: float = math.inf) -> float:
             found.append((best[i - walk], math.log2(47) + math.log2(walk), i > walk))
         best[i] = min(b + s + more for b, s, more in found)
         above = above + 1 if best[i] >= enough else 0
-        if above > 12 and best[i - run] >= enough and best[i - walk] >= enough:  # all that segments can begin at
+        if above > reach and best[i - run] >= enough and best[i - walk] >= enough:  # all that segments can begin at
             return best[i]
     return best[n]
 
 
-def scan(raw: bytes | None) -> list[tuple[int, int, str]]:
+def is_secret(value: str, words: tuple[dict[str, int], int] | None = None) -> bool:
+    """Whether a value, or any part of a URL, needs enough guesses."""
+    parts = [value]
+    if m := _URL.match(value):
+        host, *rest = re.split(r"[/?&=#]+", value[m.end() :])
+        parts = re.split(r"[.:@]", host) + rest
+    return any(guess_bits(x, MIN_BITS, words) >= MIN_BITS for x in parts)
+
+
+def scan(raw: bytes | None, words: tuple[dict[str, int], int] | None = None) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) in code points, ordered by start and then by kind as listed in KINDS."""
     if not raw:
         return []
@@ -98,7 +134,7 @@ def scan(raw: bytes | None) -> list[tuple[int, int, str]]:
             span = raw[slice(*m.span(2))].rstrip(b".!?)")  # ends before an ASCII byte, so never inside a character
             value = span.decode("utf-8", "replace")
             taken = any(k == 0 and s < m.end() and m.start() < e for s, e, k in found)
-            if not taken and len(value) >= 6 and any(not c.isalpha() for c in value) and guess_bits(value, MIN_BITS) >= MIN_BITS:
+            if not taken and len(value) >= 6 and any(not c.isalpha() for c in value) and is_secret(value, words):
                 found.append((m.start(2), m.start(2) + len(span), 3))
     found.sort(key=lambda x: (x[0], x[2], x[1]))
     if raw.isascii():
@@ -115,10 +151,11 @@ def scan(raw: bytes | None) -> list[tuple[int, int, str]]:
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: its id and `spans`, an array of structs (kind, start, end)."""
     kind = dict(df.dtypes)[id_col]
+    words = df.sparkSession.sparkContext.broadcast(word_ranks())
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = [[{"kind": k, "start": s, "end": e} for s, e, k in scan(t)] for t in byte_texts(b.column(1))]
+        out = [[{"kind": k, "start": s, "end": e} for s, e, k in scan(t, words.value)] for t in byte_texts(b.column(1))]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, spans)], ["id", "spans"])
 
     out = mapped(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), fn, f"id {kind}, spans array<struct<kind:string,start:long,end:long>>")
@@ -138,11 +175,12 @@ def redacted(text: str, spans: list[tuple[int, int, str]], mask: str = "[SECRET]
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns; secrets in the text are masked."""
     at = df.columns.index(text_col)
+    words = df.sparkSession.sparkContext.broadcast(word_ranks())
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
         for t in byte_texts(b.column(at)):
-            spans = scan(t)
+            spans = scan(t, words.value)
             texts.append(t if not spans else redacted(t.decode("utf-8", "replace"), spans).encode())
         column = pa.array(texts, pa.binary()).cast(pa.string())
         return b.set_column(at, b.schema.field(at).with_type(pa.string()), column)

@@ -240,6 +240,13 @@ def test_long_values_are_secret_as_a_whole():
         assert (secretscan.guess_bits(v, 28.0) >= 28) == (secretscan.guess_bits(v) >= 28)
 
 
+def test_ordinary_values_are_no_secrets():
+    clean = ["password is case-sensitive", "login: https://example.com/account", "login: https://accounts.github.com/settings/profile?tab=security", "login: 12:30:45", "auth: read-only", "token is 2019-01-31", "passcode: e-mail", "pass: Straße2"]
+    assert [t for t in clean if secretscan.scan(t.encode())] == []
+    for v in ("https://example.com/x7#Kp2!qLz9vTw", "https://x.net/a?key=xK9qLz7vTwPm", "x7-Kp2_qLz:9vTw", "12:30:45:x7#Kp2!qLz"):
+        assert secretscan.scan(f"login: {v}".encode())[-1] == (7, 7 + len(v), "guess")
+
+
 def test_quality(spark):
     rnd = random.Random(4)
     texts = [*ODD, *(" ".join(rnd.choices(["a", "bb", "c*", "dé", "\n", "x y\n"], k=rnd.randrange(200))) for _ in range(60)), "clean words " + " ".join(f"w{i}x" for i in range(80))]
