@@ -1,7 +1,7 @@
 """Secret scans with a guess-cost model for values in a credential context (operator 8).
 
 Base spans are regular: `assign`, `access` and `hex`. The method adds spans of the kind `guess`: a value that
-follows a credential word more loosely (`login: x`, `pwd x`, `pass is x`) is a secret if its cheapest
+follows a credential word more loosely (`login: x`, `pwd x`, `pass is x`, with any white space) is a secret if its cheapest
 segmentation into words, dates, times, repeats, keyboard walks and brute-force spans needs at least ``MIN_BITS`` bits
 of guesses. That minimum is found by dynamic programming over the value's positions.
 
@@ -20,6 +20,8 @@ import functools
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +37,7 @@ _ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x
 _ASSIGN_WORDS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-_CONTEXT = re.compile(rb"\b(passphrase|passcode|password|passwd|pass|pwd|secret|token|api_?key|login|credentials?|auth)\b[\"']?\x20*(?:[:=]\x20*|\x20(?:is|was)\x20+)[\"']?([^\x00-\x20\"'<>,;]{6,}+)")
+_CONTEXT = re.compile(rb"\b(passphrase|passcode|password|passwd|pass|pwd|secret|token|api_?key|login|credentials?|auth)\b[\"']?[\t-\r\x20]*+(?:[:=][\t-\r\x20]*+|(?<=[\t-\r\x20])(?:is|was)[\t-\r\x20]++|(?<=[\t-\r\x20]))[\"']?([^\x00-\x20\"'<>,;]{6,}+)")
 _CONTEXT_WORDS = (b"pass", b"pwd", b"secret", b"token", b"api_key", b"apikey", b"login", b"credential", b"auth")
 
 #: Words that guessers try first, in the order of trial.
@@ -130,12 +132,15 @@ def scan(raw: bytes | None, words: tuple[dict[str, int], int] | None = None) ->
         found += [(*m.span(), 1) for m in _ACCESS.finditer(raw)]
     found += [(*m.span(), 2) for m in _HEX.finditer(raw)]
     if any(w in low for w in _CONTEXT_WORDS):
-        for m in _CONTEXT.finditer(low):
+        taken = [(s, e) for s, e, k in found if k == 0]  # in order, and apart from each other
+        at = 0
+        while m := _CONTEXT.search(low, at):
             span = raw[slice(*m.span(2))].rstrip(b".!?)")  # ends before an ASCII byte, so never inside a character
-            value = span.decode("utf-8", "replace")
-            taken = any(k == 0 and s < m.end() and m.start() < e for s, e, k in found)
-            if not taken and len(value) >= 6 and any(not c.isalpha() for c in value) and is_secret(value, words):
+            i = bisect_right(taken, m.start(), key=itemgetter(1))  # the first that ends behind the match's start
+            at = m.start(2)  # what is no secret may be the word before one (`login token x`)
+            if len(span) >= 6 and not (i < len(taken) and taken[i][0] < m.end()) and is_secret(span.decode("utf-8", "replace"), words):
                 found.append((m.start(2), m.start(2) + len(span), 3))
+                at = m.end(2)
     found.sort(key=lambda x: (x[0], x[2], x[1]))
     if raw.isascii():
         return [(s, e, KINDS[k]) for s, e, k in found]

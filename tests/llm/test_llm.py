@@ -247,6 +247,14 @@ def test_ordinary_values_are_no_secrets():
         assert secretscan.scan(f"login: {v}".encode())[-1] == (7, 7 + len(v), "guess")
 
 
+def test_loose_forms_and_letters_alone():
+    for before, v in [("login: ", "xkqvbnzjtrpw"), ("pwd: ", "QmWzKxTrVbNp"), ("pwd ", "Xk9#mQ2!v"), ("pwd:\t", "Xk9#mQ2!v"), ("Password\r\n ", "Xk9#mQ2!v"), ("pass\tis\n", "Xk9#mQ2!v"), ("login token ", "Xk9#mQ2!v"), ("auth = password: ", "Xk9#mQ2!v")]:
+        text = f"{before}{v}. It"
+        assert secretscan.scan(text.encode()) == [(len(before), len(before) + len(v), "guess")], text
+    clean = "The secret ingredient is through. Login required; a token passed, a password manager, pass through\nauth: disabled. Credentials: unknown"
+    assert secretscan.scan(clean.encode()) == [] and secretscan.scan(b"password" + b" " * 300_000) == []
+
+
 def test_quality(spark):
     rnd = random.Random(4)
     texts = [*ODD, *(" ".join(rnd.choices(["a", "bb", "c*", "dé", "\n", "x y\n"], k=rnd.randrange(200))) for _ in range(60)), "clean words " + " ".join(f"w{i}x" for i in range(80))]
