@@ -10,8 +10,8 @@ among the first n - ceil(0.8 n) + c of either set, and this is where partners me
 * the boundary is the size at which the sum of the estimated costs (subsets written, list entries scanned) is
   least, from the sizes of all sets.
 
-The order puts shingles that are frequent (in a fixed table of ``TABLE_BITS`` bits, from counts over all documents)
-last, so a passage that many documents share is no meeting place for them. Two entries of a list are a candidate
+The order puts shingles that are frequent (in a fixed table of 2 ** ``TABLE_BITS`` parts of the hash range, by how many
+shingles of all documents fall into each, beyond what chance puts there) last, so a passage that many documents share is no meeting place for them. Two entries of a list are a candidate
 only if their sizes, and the number of meeting places that they share, allow a link. Lists of up to ``LIST`` entries give all candidates; longer ones
 give each entry with its neighbour and with the first, and once these are joined into components, only candidates
 between different components (none within a group of near copies, which is never expanded). Candidates are
@@ -43,6 +43,8 @@ N_WORDS, PERCENT = 5, 80
 LIST = 16
 TABLE_BITS = 24
 FREQUENT = 16
+#: Parts of the table that are summed together, and the largest size that the boundary depends on.
+CHUNK, SIZES = 1 << 12, 500
 BROADCAST_ROWS = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -120,25 +122,46 @@ def _survey(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
     """The table of frequent shingles and the boundary, from counts over all documents."""
 
     def fn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, sizes = np.zeros(1 << TABLE_BITS, np.uint16), np.zeros(SIZES + 1, np.int64)
         for b in batches:
-            sets = [shingles(t) for t in set(byte_texts(b.column(0)))]  # copies count once
-            if not sets:
-                continue
-            sizes, counts = np.unique([len(s) for s in sets], return_counts=True)
-            all_, n = np.unique(np.concatenate(sets), return_counts=True)
-            all_, n = all_[n > 1], n[n > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sizes, all_.view(np.int64)])), pa.array(np.concatenate([counts, n]).astype(np.int64)), pa.array(np.arange(len(sizes) + len(all_)) < len(sizes))], ["k", "n", "size"])
-
-    counts = cut(docs.select(F.col(text_col).alias("text")).mapInArrow(fn, "k long, n long, size boolean").groupBy("size", "k").agg(F.sum("n").alias("n")), "shingle-counts")
-    # one bit for each of 2 ** TABLE_BITS parts of the hash range, packed into at most 2 ** (TABLE_BITS - 6) longs
-    part = F.shiftrightunsigned("k", 64 - TABLE_BITS)
-    heavy = counts.where(~F.col("size") & (F.col("n") >= FREQUENT)).select(F.shiftright(part, 6).alias("w"), F.expr("shiftleft(1L, cast(%s & 63 as int))" % f"shiftrightunsigned(k, {64 - TABLE_BITS})").alias("bit"))
-    words = heavy.groupBy("w").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
-    packed = np.zeros(1 << (TABLE_BITS - 6), np.int64)
-    packed[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    frequent = np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
-    near = counts.where("size and k <= 500").collect()  # at most 500 sizes
-    return frequent, boundary_by_cost({r["k"]: r["n"] for r in near})
+            sets = [shingles(t) for t in set(byte_texts(b.column(0)))]  # copies in a batch count once
+            if sets:
+                sizes += np.bincount([len(s) for s in sets if len(s) <= SIZES], minlength=SIZES + 1)
+                part, n = np.unique((np.concatenate(sets) >> np.uint64(64 - TABLE_BITS)).astype(np.uint32), return_counts=True)
+                counts[part] = np.minimum(counts[part] + n, 65535)
+        rows = [(-1 - int(k), int(sizes[k]), None) for k in np.flatnonzero(sizes)]
+        at = np.flatnonzero(counts)
+        ends = np.searchsorted(at, np.arange(0, (1 << TABLE_BITS) + 1, CHUNK))
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            own = at[ends[k] : ends[k + 1]]
+            rows.append((k, 0, np.stack([own % CHUNK, counts[own]]).astype(np.uint16).tobytes()))
+        yield pa.RecordBatch.from_pylist([dict(zip("knx", r, strict=True)) for r in rows], pa.schema([("k", pa.int64()), ("n", pa.int64()), ("x", pa.binary())]))
+
+    def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        sizes: dict[int, int] = {}
+        for b in batches:
+            for k, n, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if x is None:
+                    sizes[k] = sizes.get(k, 0) + n
+                else:
+                    own, more = np.frombuffer(x, np.uint16).reshape(2, -1)
+                    sums.setdefault(k, np.zeros(CHUNK, np.int64))[own] += more
+        yield pa.RecordBatch.from_arrays([pa.array([*sizes, *sums], pa.int64()), pa.array([*sizes.values(), *(int(x.sum()) for x in sums.values())], pa.int64()), pa.array([None] * len(sizes) + [x.tobytes() for x in sums.values()], pa.binary())], ["k", "n", "x"])
+
+    schema = "k long, n long, x binary"
+    counts = cut(docs.select(F.col(text_col).alias("text")).mapInArrow(fn, schema).repartition("k").mapInArrow(total, schema), "shingle-counts")
+    rows = counts.select("k", "n").collect()  # one for each size and chunk
+    chance = sum(r["n"] for r in rows if r["k"] >= 0) / (1 << TABLE_BITS)
+    least = FREQUENT + chance + 6 * chance**0.5
+
+    def bits(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([np.packbits(np.frombuffer(x, np.int64) >= least).tobytes() for x in b.column(1).to_pylist()])], ["k", "x"])
+
+    frequent = np.zeros((1 << TABLE_BITS) // CHUNK * CHUNK // 8, np.uint8).reshape(-1, CHUNK // 8)
+    for r in mapped(counts.where("k >= 0").select("k", "x"), bits, "k long, x binary").collect():  # a bit for each part
+        frequent[r["k"]] = np.frombuffer(r["x"], np.uint8)
+    return np.unpackbits(frequent.ravel()).astype(bool), boundary_by_cost({-1 - r["k"]: r["n"] for r in rows if r["k"] < 0})
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray, boundary: int) -> DataFrame:

@@ -255,6 +255,14 @@ def test_loose_forms_and_letters_alone():
     assert secretscan.scan(clean.encode()) == [] and secretscan.scan(b"password" + b" " * 300_000) == []
 
 
+def test_passages_once_a_batch_are_frequent(spark):
+    passage = " ".join(f"shared{k}" for k in range(20))
+    texts = [" ".join(f"own{i}x{k}" for k in range(30)) + " " + passage for i in range(60)]
+    frequent, _ = nearjoin._survey(docs(spark, texts).repartition(60), "text")
+    at = lambda t: frequent[(nearjoin.shingles(t.encode()) >> np.uint64(64 - nearjoin.TABLE_BITS)).astype(np.int64)]
+    assert at(passage).all() and frequent.sum() == 16 and not at(" ".join(f"own0x{k}" for k in range(30))).any()
+
+
 def test_quality(spark):
     rnd = random.Random(4)
     texts = [*ODD, *(" ".join(rnd.choices(["a", "bb", "c*", "dé", "\n", "x y\n"], k=rnd.randrange(200))) for _ in range(60)), "clean words " + " ".join(f"w{i}x" for i in range(80))]
