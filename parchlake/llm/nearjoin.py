@@ -331,6 +331,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per input row: id, th (hash of the text), n (size of the set), component_id."""
+    return _placed(docs, id_col, text_col, broadcast_rows).drop("comp")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of `linked` with comp: the component's own number, null for a row without words."""
     spark = docs.sparkSession
     frequent, boundary = _survey(docs, text_col)
     described = cut(_described(docs, id_col, text_col, frequent, boundary), "described")
@@ -369,9 +374,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broa
     classes = described.where("node is not null").groupBy("node").agg(F.min("id").alias("low"))
     placed = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     lows = placed.groupBy("comp").agg(F.min("low").alias("component_id"))
-    of_node = placed.join(lows, "comp").select("node", "component_id")
+    of_node = placed.join(lows, "comp").select("node", "comp", "component_id")
     out = described.select("id", "th", "node", "n").join(of_node, "node", "left")
-    return out.select(F.col("id").alias(id_col), "th", "n", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "th", "n", "comp", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _if_small(df: DataFrame, rows: int) -> DataFrame:
@@ -386,13 +391,21 @@ def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with all columns; of each component only the row with the least id stays (one of repeated rows)."""
-    found = cut(linked(docs, id_col, text_col), "linked")
-    key = lambda i, th: F.xxhash64(F.coalesce(i.cast("string"), F.lit("")), th)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key(F.col(id_col), F.col("th")).alias("__key"), "n")
-    rows = docs.withColumn("__key", key(F.col(id_col), F.xxhash64(F.col(text_col)))).join(kept.select("__key").distinct(), "__key", "left_semi")
-    again = kept.where("n > 0").groupBy("__key").count().where("count > 1").isEmpty()
-    return (rows if again else rows.dropDuplicates(["__key"])).select(*docs.columns)
+    """The rows with all columns; of each component only one row stays, that with the least (id, hash of the text).
+
+    Null ids come last. Rows without words are in no component, and stay.
+    """
+    found = cut(_placed(docs, id_col, text_col).select(F.col(id_col).alias("id"), "th", "comp"), "linked")
+    key = lambda i, th: F.xxhash64(i.isNull(), F.coalesce(i.cast("string"), F.lit("")), th)
+    same = found.where("comp is not null").groupBy("comp", "id", "th").agg(F.count("*").alias("rows"))
+    least = same.groupBy("comp").agg(F.min_by(F.struct("id", "th", "rows"), F.struct(F.col("id").isNull(), "id", "th")).alias("x"))
+    kept = cut(least.select(key(F.col("x.id"), F.col("x.th")).alias("__key"), F.col("x.rows").alias("rows")), "kept")
+    blank = found.where("comp is null").select(key(F.col("id"), F.col("th")).alias("__key"), F.lit(True).alias("__blank")).distinct()
+    keys = kept.select("__key", F.lit(False).alias("__blank")).unionByName(blank)
+    rows = docs.withColumn("__key", key(F.col(id_col), F.xxhash64(F.col(text_col)))).join(keys, "__key")
+    if not kept.where("rows > 1").isEmpty():
+        rows = rows.where("not __blank").dropDuplicates(["__key"]).unionByName(rows.where("__blank"))
+    return rows.select(*docs.columns)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

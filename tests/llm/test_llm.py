@@ -98,6 +98,19 @@ def test_keep_one(spark):
     assert nearjoin.linked(docs(spark, [])).count() == 0
 
 
+def test_keep_one_of_shared_and_null_ids(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = [" ".join([*base, f"tail{i}"]) for i in range(3)]
+    other = "another text of quite other words"
+    rows = [(7, near[0]), (7, near[1]), (9, near[2]), (None, other), (None, other + " x y z"), (None, other), (None, ""), (None, None), (3, " "), (3, " "), (7, "short text")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in nearjoin.keep_one(d).collect()]
+    assert sum(t in near for _, t in kept) == 1 and (9, near[2]) not in kept and (7, "short text") in kept
+    assert kept.count((None, other)) == 1 and kept.count((3, " ")) == 2 and kept.count((None, "")) == kept.count((None, None)) == 1
+    nulls = spark.createDataFrame([(None, t) for t in near], "doc_id long, text string")
+    assert nearjoin.keep_one(nulls).count() == 1
+
+
 def words(t):
     low = "".join(c.lower() if c.isascii() else c for c in t or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
