@@ -1,10 +1,12 @@
 """Language identification by fusion of evidence (operator 6).
 
 The text likelihood comes from hashed byte trigrams (``BUCKETS`` of them), trained on at most ``TRAIN_ROWS`` labelled
-documents (those with the least hash of their id). For every page, evidence is combined in log space:
+documents (those with the least hash of their id), and as many again of the languages that these lack, until every
+labelled language has its counts. For every page, evidence is combined in log space:
 
 * the text: its mean log likelihood per trigram, worth at most ``TEXT_WEIGHT`` trigrams;
 * the declared markup language (`<html lang>`), by how often it goes with each language over all pages;
+  declarations and labels are compared as whole codes, two- and three-letter ones (ISO 639) as the same;
 * the host: a prior that is smoothed towards that of its domain, which is smoothed towards that of the address
   suffix, which is smoothed towards that of all pages. Their counts are sums over all pages of the text's posterior
   probabilities (grouped aggregation), without the page's own share.
@@ -30,10 +32,28 @@ BUCKETS = 1 << 15
 TRAIN_ROWS = 4000
 TEXT_WEIGHT = 40.0
 SMOOTHING = 5.0
-MOST_LANGUAGES = 64
 _HIDDEN = re.compile(rb"<(script|style)\b.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(rb"<[^>]*>")
-_LANG = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
+_LANG = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,}+)", re.I)
+#: Three-letter codes (ISO 639-2 and 639-3, bibliographic ones too) by two-letter code (ISO 639-1).
+_CODES = """aa aar ab abk ae ave af afr ak aka am amh an arg ar ara as asm av ava ay aym az aze ba bak be bel bg bul bi bis bm bam
+bn ben bo bod bo tib br bre bs bos ca cat ce che ch cha co cos cr cre cs ces cs cze cu chu cv chv cy cym cy wel da dan de deu de ger dv div
+dz dzo ee ewe el ell el gre en eng eo epo es spa et est eu eus eu baq fa fas fa per ff ful fi fin fj fij fo fao fr fra fr fre fy fry
+ga gle gd gla gl glg gn grn gu guj gv glv ha hau he heb hi hin ho hmo hr hrv ht hat hu hun hy hye hy arm hz her ia ina id ind ie ile
+ig ibo ii iii ik ipk io ido is isl is ice it ita iu iku ja jpn jv jav ka kat ka geo kg kon ki kik kj kua kk kaz kl kal km khm kn kan ko kor
+kr kau ks kas ku kur kv kom kw cor ky kir la lat lb ltz lg lug li lim ln lin lo lao lt lit lu lub lv lav mg mlg mh mah mi mri mi mao
+mk mkd mk mac ml mal mn mon mr mar ms msa ms may mt mlt my mya my bur na nau nb nob nd nde ne nep ng ndo nl nld nl dut nn nno no nor nr nbl
+nv nav ny nya oc oci oj oji om orm or ori os oss pa pan pi pli pl pol ps pus pt por qu que rm roh rn run ro ron ro rum ru rus rw kin sa san
+sc srd sd snd se sme sg sag si sin sk slk sk slo sl slv sm smo sn sna so som sq sqi sq alb sr srp ss ssw st sot su sun sv swe sw swa ta tam
+te tel tg tgk th tha ti tir tk tuk tl tgl tn tsn to ton tr tur ts tso tt tat tw twi ty tah ug uig uk ukr ur urd uz uzb ve ven vi vie vo vol
+wa wln wo wol xh xho yi yid yo yor za zha zh zho zh chi zu zul""".split()
+_TWO = dict(zip(_CODES[1::2], _CODES[::2], strict=True))
+
+
+def code(label: str) -> str:
+    """The primary code of a label or declaration, with two letters where there is such a one."""
+    c = re.split("[-_]", label.strip().lower(), maxsplit=1)[0]
+    return _TWO.get(c, c)
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -49,7 +69,7 @@ def visible(html: bytes) -> bytes:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities by language and bucket)."""
-    sample = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h")).orderBy("h").limit(rows)
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         counts: dict[str, np.ndarray] = {}
@@ -58,9 +78,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c.astype(np.int64).tobytes() for c in counts.values()])], ["lang", "counts"])
 
     sums: dict[str, np.ndarray] = {}
-    for r in mapped(sample.select("lang", "text"), fn, "lang string, counts binary").collect():  # a few rows for each language
-        sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int64)
-    langs = sorted(sorted(sums, key=lambda x: -sums[x].sum())[:MOST_LANGUAGES])
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    while lacking := [x for x in langs if x not in sums]:
+        sample = known.where(F.col("lang").isin(lacking)).orderBy("h").limit(rows) if sums else known.orderBy("h").limit(rows)
+        for r in mapped(sample.select("lang", "text"), fn, "lang string, counts binary").collect():  # a few rows for each language
+            sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int64)
     if not langs:
         return [], np.zeros((0, BUCKETS))
     table_ = np.stack([sums[x] for x in langs]) + 0.5
@@ -86,14 +108,15 @@ def identify(pages: DataFrame, langs: list[str], model: np.ndarray, id_col: str
         none = F.lit(None).cast("string")
         return pages.select(F.col(id_col), none.alias("lang"), none.alias("text_lang"), none.alias("declared"), host_path(F.col(url_col))[0].alias("host"), F.lit(None).cast("double").alias("confidence"))
     shared = spark.sparkContext.broadcast(model)
+    named = {code(x): x for x in reversed(langs)} | {x.lower(): x for x in langs}
 
     def score(b: pa.RecordBatch) -> pa.RecordBatch:
         ll, said = [], []
         for h in byte_texts(b.column(2)):
             h = h or b""
             m = _LANG.search(h)
-            d = m[1].decode().lower()[:2] if m else "none"
-            said.append(d if m is None or d in langs else "other")
+            d = m[1].decode().lower() if m else "none"
+            said.append("none" if m is None else named.get(d) or named.get(code(d), "other"))
             ll.append(likelihoods(visible(h), shared.value))
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said), pa.array([softmax(x) for x in ll], pa.list_(pa.float64()))], ["id", "host", "declared", "p"])
 

@@ -357,6 +357,17 @@ def test_languages(spark):
     assert langid.identify(odd, [], model).where("lang is null").count() == 4
 
 
+def test_all_labelled_languages(spark):
+    labels = [f"x{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70)] + ["deu"]
+    rows = [(k * 100 + j, f"{x} " * 20, x) for k, x in enumerate(labels) for j in range(3)]
+    langs, model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=30)
+    assert langs == sorted(labels) and len(model) == 71
+    declared = ["de-DE", "deu", "ger", "xaa", "xaab", "xa", "XCR"]
+    pages = [(i, f"http://h{i}.x/", f'<html lang="{c}"><p>{langs[0]} {langs[0]}') for i, c in enumerate(declared)] + [(7, "http://h.x/", "<p>a")]
+    got = {r["page_id"]: r["declared"] for r in langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), langs, model).collect()}
+    assert [got[i] for i in range(8)] == ["deu", "deu", "deu", "xaa", "other", "other", "xcr", "none"]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
