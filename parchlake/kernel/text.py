@@ -12,7 +12,7 @@ MAX_FORMS = 8
 #: Characters of 0x80 to 0x9F in WinAnsi, by code (others are Latin-1).
 WIN = {0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ"}
 #: Glyph names that are no single letter or digit.
-GLYPHS = {"space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "period": ".", "slash": "/", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[", "backslash": "\\", "bracketright": "]", "underscore": "_", "braceleft": "{", "bar": "|", "braceright": "}", "quoteleft": "‘", "quoteright": "’", "quotedblleft": "“", "quotedblright": "”", "endash": "–", "emdash": "—", "bullet": "•", "ellipsis": "…", "fi": "ﬁ", "fl": "ﬂ", "Euro": "€", "trademark": "™", "copyright": "©", "registered": "®", "degree": "°", "eacute": "é", "egrave": "è", "agrave": "à", "ccedilla": "ç", "ntilde": "ñ", "udieresis": "ü", "odieresis": "ö", "adieresis": "ä"}
+GLYPHS = {"space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "period": ".", "slash": "/", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[", "backslash": "\\", "bracketright": "]", "underscore": "_", "braceleft": "{", "bar": "|", "braceright": "}", "quoteleft": "‘", "quoteright": "’", "quotedblleft": "“", "quotedblright": "”", "endash": "–", "emdash": "—", "bullet": "•", "ellipsis": "…", "fi": "ﬁ", "fl": "ﬂ", "dagger": "†", "daggerdbl": "‡", "Euro": "€", "trademark": "™", "copyright": "©", "registered": "®", "degree": "°", "eacute": "é", "egrave": "è", "agrave": "à", "ccedilla": "ç", "ntilde": "ñ", "udieresis": "ü", "odieresis": "ö", "adieresis": "ä"}
 #: The characters in which Adobe's standard encoding differs from ASCII, by code.
 STANDARD = {0x27: "’", 0x60: "‘", 0xA1: "¡", 0xA2: "¢", 0xA3: "£", 0xAE: "ﬁ", 0xAF: "ﬂ", 0xB1: "–", 0xB7: "•", 0xBC: "…", 0xD0: "—", 0xAA: "“", 0xBA: "”"}
 
@@ -29,7 +29,7 @@ def base_encoding(name: str | None) -> dict[int, str]:
 def glyph(name: str) -> str:
     if name in GLYPHS:
         return GLYPHS[name]
-    if m := re.fullmatch(r"uni([0-9A-Fa-f]{4})|u([0-9A-Fa-f]{4,6})", name):
+    if m := re.fullmatch(r"uni([0-9A-Fa-f]{4}).*|u([0-9A-Fa-f]{4,6})", name, re.S):  # of a longer uni name the first four
         n = int(m[1] or m[2], 16)
         return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else ""
     return name if len(name) == 1 and name.isalnum() else ""

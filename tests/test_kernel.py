@@ -187,3 +187,9 @@ def test_export():
     data = edit.text_document(["AI export test text."], "Export sample").to_bytes()
     assert '"title": "Export sample"' in api.export(data) and '"AI export test text."' in api.export(data)
     assert [x[:8] for x in api.export(data, lines=True).splitlines()] == ['{"schema', '{"kind":']
+
+
+def test_glyph_names():
+    from parchlake.kernel.text import glyph
+
+    assert [glyph(x) for x in ("dagger", "daggerdbl", "uni0915", "uni09150916", "uni0041.alt", "u1F600", "uni09", "A")] == ["†", "‡", "क", "क", "A", "😀", "", "A"]
