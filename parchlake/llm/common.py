@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -19,11 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests, a laptop) a local folder is set.
+    Where that setting is absent a local folder is set, if Spark runs in this process alone (tests, a laptop); on a
+    cluster that would lose rows silently, so it is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file:///tmp/checkpoints"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/parchlake/{name}-{uuid.uuid4().hex}"
 
@@ -32,13 +37,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a table in the shared folder: nothing is computed twice, and lost executors cost nothing."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
-def drop_shared(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` wrote and nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """The name, with as many _ behind it as make it differ from all that are taken (in whatever case)."""
+    taken = {x.lower() for x in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
@@ -49,12 +65,19 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.view(kind).to_pylist()
 
 
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches without empty ones, in parts of few rows: Python objects of a whole batch of texts would take much memory."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """One Arrow batch in, one out."""
+    """For each part of an Arrow batch one batch or none."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and (out := fn(b)) is not None:
+        for b in parts(batches):
+            if (out := fn(b)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)

@@ -70,9 +70,49 @@ def test_join_components(spark, seed):
     assert got == jaccard_components(texts)
 
 
+@pytest.mark.parametrize(("local", "block"), [(1_000_000, 2048), (0, 4)])
+def test_join_of_hot_lists(spark, local, block):
+    """Texts of a shared passage and a few own words: most lists are long, and many components remain between them."""
+    rnd = random.Random(9)
+    passage = [f"p{k}" for k in range(40)]
+    texts = [" ".join([*(f"own{i}x{k}" for k in range(rnd.randrange(14))), *passage, *(f"end{i % 40}x{k}" for k in range(rnd.randrange(6)))]) for i in range(160)]
+    texts += [" ".join(rnd.choice([f"a{k}", f"b{k}"]) if k % 6 == 0 else f"w{k}" for k in range(50)) for _ in range(160)]
+    d = docs(spark, texts)
+    got = {r["id"]: (r["n"], r["component_id"]) for r in nearjoin._placed(d, "doc_id", "text", local, block).collect()}
+    assert got == jaccard_components(texts)
+
+
+def test_lists_longer_than_a_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7000)
+    try:
+        rows = [(5, 30, k, 0) for k in range(40_000)] + [(5, 30, k, 0) for k in range(0, 40_000, 3)] + [(7, 30, k, 0) for k in range(10)] + [(9, 30, 3, 0)]
+        got = nearjoin._scanned(spark.createDataFrame(rows, "key long, n long, node long, at int"), 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r["a"] for r in got if r["b"] is None) == list(range(40_000))
+    pairs = {tuple(sorted((r["a"], r["b"]))) for r in got if r["b"] is not None}
+    h = {r["node"]: r["h"] for r in spark.range(40_000).select(F.col("id").alias("node"), F.xxhash64("id", F.shiftright(F.lit(5).cast("long"), 1).bitwiseAND(nearjoin.ORDERS - 1)).alias("h")).collect()}
+    order = sorted(h, key=h.get)
+    want = {tuple(sorted(x)) for x in [*zip(order, order[1:]), *((order[0], k) for k in order[1:])]}
+    assert pairs == want | set(itertools.combinations(range(10), 2))
+
+
+def test_bitmaps_rule_out_no_link():
+    rnd = np.random.default_rng(4)
+    for _ in range(300):
+        a = np.unique(rnd.integers(0, 2**63, int(rnd.integers(1, 300))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rnd.random(len(a)) < rnd.choice([0.7, 0.85, 0.95])], rnd.integers(0, 2**63, int(rnd.integers(0, 1 + len(a) // 4))).astype(np.uint64)]))
+        x, y = (np.frombuffer(nearjoin.bitmap(s), np.uint64) for s in (a, b))
+        size = min(len(x), len(y))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 80 * (len(a) + len(b) - common):
+            most = nearjoin.most_common(len(a), nearjoin.folded(x, size), len(b), nearjoin.folded(y, size))
+            assert common <= most and nearjoin.enough(most, len(a), len(b))
+
+
 def test_join_meeting_places():
     rnd = np.random.default_rng(3)
-    none = np.zeros(1 << nearjoin.TABLE_BITS, bool)
+    none = np.zeros((1 << 24) // 8, np.uint8)
     for _ in range(300):
         n = int(rnd.integers(4, 60))
         a = np.unique(rnd.integers(0, 2**63, n).astype(np.uint64))
@@ -166,7 +206,15 @@ def test_pieces(spark):
     for r in pieces.encode_texts(docs(spark, texts)).collect():  # a difference from the library raises
         ids = [int(x) for x in r["ids"].split(",") if x]
         assert ids == v.library.encode(texts[r["doc_id"]] or "") and r["decoded"] == v.library.decode(ids) == v.decode(ids) and r["n_tokens"] == len(ids)
-    assert pieces.encode_texts(docs(spark, [])).count() == 0
+    by_number = {r["doc_id"]: r["ids"] for r in pieces.encode_texts(docs(spark, texts), numbers=True, check=False).collect()}
+    assert by_number == {i: v.library.encode(t or "") for i, t in enumerate(texts)}
+    assert pieces.encode_texts(docs(spark, [])).count() == 0 and v.plain
+    own = pieces.Vocabulary(open(pieces.default_model(), "rb").read())
+    own.plain = False  # as if a text did not decode to itself
+    assert [x for _, x in own.encoded([t or "" for t in texts])] == [x for _, x in v.encoded([t or "" for t in texts])]
+    own.memo = {}
+    words = ["".join(rnd.choices("abcdefgéß漢.,\x02zeition", k=rnd.randrange(1, 40))) for _ in range(3000)]
+    assert all(np.frombuffer(x, np.int32).tolist() == own.agenda(w) for w, x in own.agendas(words).items())
 
 
 def test_token_counts(spark):
@@ -271,8 +319,8 @@ def test_loose_forms_and_letters_alone():
 def test_passages_once_a_batch_are_frequent(spark):
     passage = " ".join(f"shared{k}" for k in range(20))
     texts = [" ".join(f"own{i}x{k}" for k in range(30)) + " " + passage for i in range(60)]
-    frequent, _ = nearjoin._survey(docs(spark, texts).repartition(60), "text")
-    at = lambda t: frequent[(nearjoin.shingles(t.encode()) >> np.uint64(64 - nearjoin.TABLE_BITS)).astype(np.int64)]
+    frequent = np.unpackbits(nearjoin._survey(docs(spark, texts).repartition(60), "text")[0])
+    at = lambda t: frequent[(nearjoin.shingles(t.encode()) >> np.uint64(65 - len(frequent).bit_length())).astype(np.int64)]
     assert at(passage).all() and frequent.sum() == 16 and not at(" ".join(f"own0x{k}" for k in range(30))).any()
 
 
