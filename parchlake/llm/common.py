@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -9,6 +10,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.batches import bounded
+
 #: The white space of the word contracts: space and 0x09 to 0x0D; bytes.split() splits at just these.
 SPACES = b" \t\n\r\x0b\x0c"
 
@@ -65,6 +68,22 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.view(kind).to_pylist()
 
 
+def in_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of bounded size; workers, which live on, give back to the system what a task has freed."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    bounded(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def parts(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches without empty ones, in parts of few rows: Python objects of a whole batch of texts would take much memory."""
     for b in batches:
@@ -80,7 +99,7 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
             if (out := fn(b)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 class Remembered(dict):

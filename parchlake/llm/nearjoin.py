@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, cut, drop, fresh, mapped, parts, table
+from .common import byte_texts, cut, drop, fresh, in_arrow, mapped, parts, table
 
 N_WORDS, PERCENT = 5, 80
 LIST, BLOCK = 16, 2048
@@ -189,7 +189,7 @@ def _survey(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array([*sizes, *sums], pa.int64()), pa.array([*sizes.values(), *(int(x.sum()) for x in sums.values())], pa.int64()), pa.array([None] * len(sizes) + [x.tobytes() for x in sums.values()], pa.binary())], ["k", "n", "x"])
 
     schema = "k long, n long, x binary"
-    counts = cut(docs.select(F.col(text_col).alias("text")).mapInArrow(fn, schema).repartition("k").mapInArrow(total, schema), "shingle-counts")
+    counts = cut(in_arrow(in_arrow(docs.select(F.col(text_col).alias("text")), fn, schema).repartition("k"), total, schema), "shingle-counts")
     rows = counts.select("k", "n").collect()  # one for each size and chunk
     chance = sum(r["n"] for r in rows if r["k"] >= 0) / (1 << bits)
     least = FREQUENT + chance + 6 * chance**0.5
@@ -234,7 +234,8 @@ def _described(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray
                 small.append(few)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(ats, pa.list_(pa.int32())), pa.array(maps, pa.binary()), pa.array(small, pa.binary())], ["id", "th", "node", "n", "keys", "at", "bits", "few"])
 
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text")).mapInArrow(fn, f"id {kind}, th long, node long, n long, keys array<long>, at array<int>, bits binary, few binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    return in_arrow(rows, fn, f"id {kind}, th long, node long, n long, keys array<long>, at array<int>, bits binary, few binary")
 
 
 def _may_link(n0: np.ndarray, i0: np.ndarray, n1, i1) -> np.ndarray:  # noqa: ANN001
@@ -321,7 +322,7 @@ def _scanned(entries: DataFrame, boundary: int) -> DataFrame:
             lists(rest, np.array([0]), np.array([len(rest[0])]), True)
         yield from _joined(out)
 
-    return ordered.select("key", "band", "n", "node", "at").mapInArrow(fn, FOUND)
+    return in_arrow(ordered.select("key", "band", "n", "node", "at"), fn, FOUND)
 
 
 def _joined(out: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +440,7 @@ def _across(long: DataFrame, comps: DataFrame, sketches: DataFrame, boundary: in
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got, strict=True)], ["a", "b"])
 
     ordered = units.withColumn("side", F.coalesce("side", F.lit(-1))).repartition("unit").sortWithinPartitions("unit", "n", "node")
-    return ordered.select("unit", "side", "key", "n", "node", "at", "comp", "few").mapInArrow(fn, "a long, b long").distinct()
+    return in_arrow(ordered.select("unit", "side", "key", "n", "node", "at", "comp", "few"), fn, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -465,7 +466,7 @@ def components(links: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     """(node, comp): the least node reachable, for every node with a link; by union and find in one task for at most
     `local` links, which are counted, else by alternating stars."""
     if links.count() <= local:
-        return cut(links.select("a", "b").coalesce(1).mapInArrow(_united, "node long, comp long"), "components")
+        return cut(in_arrow(links.select("a", "b").coalesce(1), _united, "node long, comp long"), "components")
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     while True:

@@ -27,15 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts as part_of
-from .common import table
+from .common import in_arrow, parts, table
 
 MARK = "▁"
 #: Remembered segments that a task may leave for the next one.
-LEFT = 200_000
+LEFT = 100_000
 #: Segments that are remembered, characters of the texts that are encoded together, and symbols of the longest segment
 #: whose agenda is a matrix row.
-MOST, CHARACTERS, SHORT = 800_000, 2_000_000, 32
+MOST, CHARACTERS, SHORT = 600_000, 1_000_000, 32
 NEVER = 1 << 30
 
 
@@ -248,9 +247,9 @@ class Vocabulary:
                 known.append(got)
                 size += len(texts[at])
                 at += 1
-            parts = {w: self._parts(w) for w in dict.fromkeys([w for _, _, w in lack])}
-            made = self.agendas(list(dict.fromkeys(chain.from_iterable(parts.values()))))
-            new = {w: made[x[0]] if len(x) == 1 else b"".join([made[y] for y in x]) for w, x in parts.items()}
+            lines = {w: self._parts(w) for w in dict.fromkeys([w for _, _, w in lack])}
+            made = self.agendas(list(dict.fromkeys(chain.from_iterable(lines.values()))))
+            new = {w: made[x[0]] if len(x) == 1 else b"".join([made[y] for y in x]) for w, x in lines.items()}
             for got, k, w in lack:
                 got[k] = new[w]
             if len(self.memo) + len(new) > MOST:
@@ -309,12 +308,12 @@ def encode_texts(df: DataFrame, model_path: str | None = None, id_col: str = "do
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            for b in part_of(batches):
+            for b in parts(batches):
                 yield fn(b)
         finally:
             vocabulary(proto.value).forget()
 
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids {'array<int>' if numbers else 'string'}, decoded string")
+    out = in_arrow(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, n_tokens long, ids {'array<int>' if numbers else 'string'}, decoded string")
     return out.withColumnRenamed("id", id_col)
 
 
