@@ -16,7 +16,7 @@ from .operators.export import SCHEMA_TAG
 
 VERSION = "0.1.0"
 
-__all__ = ["PdfError", "VERSION", "crop", "decrypt", "delete_pages", "encrypt", "export", "extract_pages", "extract_text", "get_metadata", "inspect", "merge", "page_count", "reorder_pages", "rewrite", "rotate_pages", "set_metadata", "split"]
+__all__ = ["PdfError", "VERSION", "crop", "decrypt", "delete_pages", "encrypt", "export", "extract_pages", "extract_text", "get_metadata", "inspect", "merge", "merge_list", "page_count", "reorder_pages", "rewrite", "rotate_pages", "roundtrip", "set_metadata", "split"]
 
 
 def page_count(data: bytes, password: str = "") -> int:
@@ -94,5 +94,19 @@ def decrypt(data: bytes, password: str) -> bytes:
     return Document.load(data, password).to_bytes()
 
 
+def merge_list(paths: str) -> bytes:
+    """Merges the files that a list names, one on a line; blank lines and white space around a path don't count."""
+    names = [x.strip() for x in paths.split("\n") if x.strip()]
+    if not names:
+        raise PdfError("ERROR", "no input files")
+    return merge([open(x, "rb").read() for x in names])
+
+
+def roundtrip(data: bytes, password: str = "") -> tuple[int, int]:
+    """Objects and pages of what writing and parsing again gives."""
+    again = Document.load(Document.load(data, password).to_bytes())
+    return len(again.objects), again.inspect().page_count or 0
+
+
 def rewrite(data: bytes, password: str = "") -> bytes:
     return Document.load(data, password).to_bytes()

@@ -105,10 +105,11 @@ def cbc(key: bytes, iv: bytes, data: bytes, encrypt: bool) -> bytes:
         ctx = ctypes.c_void_p(lib.EVP_CIPHER_CTX_new())
         try:
             kind = ctypes.c_void_p(lib.EVP_aes_128_cbc() if len(key) == 16 else lib.EVP_aes_256_cbc())
-            lib.EVP_CipherInit_ex(ctx, kind, None, key, iv, int(encrypt))
-            lib.EVP_CIPHER_CTX_set_padding(ctx, 0)
             out, n = ctypes.create_string_buffer(len(data) + 16), ctypes.c_int()
-            lib.EVP_CipherUpdate(ctx, out, ctypes.byref(n), data, len(data))
+            ok = lib.EVP_CipherInit_ex(ctx, kind, None, key, iv, int(encrypt)) == 1
+            ok = ok and lib.EVP_CIPHER_CTX_set_padding(ctx, 0) == 1 and lib.EVP_CipherUpdate(ctx, out, ctypes.byref(n), data, len(data)) == 1
+            if not ok or n.value != len(data):
+                raise PdfError("ERROR", "the cipher failed")
             return out.raw[: n.value]
         finally:
             lib.EVP_CIPHER_CTX_free(ctx)

@@ -136,7 +136,7 @@ def merge(docs: list[Document]) -> Document:
         raise PdfError("ERROR", "nothing to merge")
     out = new_document(max(d.version for d in docs))
     rebuild(out, [r for d in docs for r in _copied(d, out, list(range(len(d.page_refs()))), together=True)])
-    if (first := next((d for d in docs if isinstance(d.trailer.get("Info"), Ref)), None)) is not None:
+    if (first := next((d for d in docs if isinstance(r := d.trailer.get("Info"), Ref) and d.resolve(r) is not None), None)) is not None:
         _carry_info(first, out)
     return out
 
@@ -216,14 +216,35 @@ def set_metadata(doc: Document, update: dict[str, str | None]) -> Document:
     return doc
 
 
+#: What the plain font of `text_document` doesn't show as itself.
+_ODD = re.compile("[^\x20-\x7e\xa0-\xff]")
+
+
+def unicode_font(doc: Document, codes: dict[str, int]) -> dict:
+    """A font of two-byte codes that shows these characters (at most 65,535 of them)."""
+    if len(codes) > 0xFFFF:
+        raise PdfError("ERROR", "too many different characters for a font")
+    rows = [b"<%04x> <%s>" % (n, c.encode("utf-16-be").hex().encode()) for c, n in codes.items()]
+    cmap = b"".join(b"%d beginbfchar\n%s\nendbfchar\n" % (len(part), b"\n".join(part)) for part in (rows[k : k + 100] for k in range(0, len(rows), 100)))
+    kid = {"Type": Name("Font"), "Subtype": Name("CIDFontType2"), "BaseFont": Name("Unicode"), "DW": 1000, "CIDSystemInfo": {"Registry": b"Adobe", "Ordering": b"Identity", "Supplement": 0}}
+    return {"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("Unicode"), "Encoding": Name("Identity-H"), "DescendantFonts": [doc.add(kid)], "ToUnicode": doc.add(Stream({}, cmap))}
+
+
 def text_document(pages: list[str], title: str | None = None) -> Document:
-    """A document with the texts' lines, a line per `Td`; a space stands for what a page's font can't show."""
+    """A document with the texts' lines, a line per `Td`. Lines with characters that are not in the plain font have a
+    font of two-byte codes of their own, with a map to Unicode."""
     doc = new_document("1.4")
-    font = doc.add({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica"), "Encoding": Name("WinAnsiEncoding")})
-    refs = []
-    for text in pages:
-        lines = [b"0 -14 Td (" + re.sub(rb"([()\\\r])", rb"\\\1", x.encode("latin-1", "replace")) + b") Tj" for x in text.split("\n")]
-        body = doc.add(Stream({}, b"BT /F1 12 Tf 72 800 Td " + b"\n".join(lines) + b" ET"))
-        refs.append(doc.add({"Type": Name("Page"), "MediaBox": [0, 0, 612, 792], "Resources": {"Font": {"F1": font}}, "Contents": body}))
+    fonts = {"F1": doc.add({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica"), "Encoding": Name("WinAnsiEncoding")})}
+    codes: dict[str, int] = {}
+
+    def line(x: str) -> bytes:
+        if not _ODD.search(x):
+            return b"/F1 12 Tf 0 -14 Td (" + re.sub(rb"([()\\])", rb"\\\1", x.encode("latin-1")) + b") Tj"
+        return b"/F2 12 Tf 0 -14 Td <" + b"".join(b"%04x" % codes.setdefault(c, len(codes) + 1) for c in x) + b"> Tj"
+
+    bodies = [doc.add(Stream({}, b"BT 72 800 Td " + b"\n".join(map(line, text.split("\n"))) + b" ET")) for text in pages]
+    if codes:
+        fonts["F2"] = doc.add(unicode_font(doc, codes))
+    refs = [doc.add({"Type": Name("Page"), "MediaBox": [0, 0, 612, 792], "Resources": {"Font": dict(fonts)}, "Contents": b}) for b in bodies]
     rebuild(doc, refs)
     return set_metadata(doc, {"title": title}) if title else doc

@@ -13,8 +13,8 @@ MAX_FORMS = 8
 WIN = {0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ"}
 #: Glyph names that are no single letter or digit.
 GLYPHS = {"space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "period": ".", "slash": "/", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[", "backslash": "\\", "bracketright": "]", "underscore": "_", "braceleft": "{", "bar": "|", "braceright": "}", "quoteleft": "‘", "quoteright": "’", "quotedblleft": "“", "quotedblright": "”", "endash": "–", "emdash": "—", "bullet": "•", "ellipsis": "…", "fi": "ﬁ", "fl": "ﬂ", "dagger": "†", "daggerdbl": "‡", "Euro": "€", "trademark": "™", "copyright": "©", "registered": "®", "degree": "°", "eacute": "é", "egrave": "è", "agrave": "à", "ccedilla": "ç", "ntilde": "ñ", "udieresis": "ü", "odieresis": "ö", "adieresis": "ä"}
-#: The characters in which Adobe's standard encoding differs from ASCII, by code.
-STANDARD = {0x27: "’", 0x60: "‘", 0xA1: "¡", 0xA2: "¢", 0xA3: "£", 0xAE: "ﬁ", 0xAF: "ﬂ", 0xB1: "–", 0xB7: "•", 0xBC: "…", 0xD0: "—", 0xAA: "“", 0xBA: "”"}
+#: The characters of the standard encoding above ASCII, by code.
+STANDARD = {0xA1: "¡", 0xA2: "¢", 0xA3: "£", 0xAE: "ﬁ", 0xAF: "ﬂ", 0xB1: "–", 0xB4: "·", 0xB7: "•", 0xBC: "…", 0xD0: "—", 0xD1: "‘", 0xD2: "’"}
 
 
 def base_encoding(name: str | None) -> dict[int, str]:
@@ -83,22 +83,31 @@ class Font:
 
 
 def cid_widths(w: list) -> dict[int, float]:
-    out, i = {}, 0
-    while i + 1 < len(w):
-        if isinstance(w[i + 1], list):
-            out |= {w[i] + k: float(x) for k, x in enumerate(w[i + 1]) if type(x) in (int, float)}
-            i += 2
-        else:
-            if i + 2 < len(w):
-                out |= dict.fromkeys(range(w[i], min(w[i + 1], w[i] + 65535) + 1), float(w[i + 2]))
-            i += 3
+    """Widths by code, from groups `first [widths]` and `first last width`; what is neither is passed over."""
+    out: dict[int, float] = {}
+    held: list = []
+    for x in w:
+        if isinstance(x, list) and len(held) == 1:
+            out |= {max(held[0] + k, 0): float(v) for k, v in enumerate(x) if type(v) in (int, float)}
+            held = []
+        elif len(held) == 2:
+            if type(x) in (int, float):
+                out |= dict.fromkeys(range(max(held[0], 0), min(held[1], held[0] + 65535) + 1), float(x))
+            held = []
+        elif type(x) is int:
+            held.append(x)
+        else:  # drops a first number before it
+            held = []
     return out
 
 
 def load_font(doc: Document, d: dict) -> Font:
     f = Font()
     if isinstance(s := doc.resolve(d.get("ToUnicode")), Stream):
-        f.to_unicode = read_cmap(doc.data_of(s))
+        try:
+            f.to_unicode = read_cmap(doc.data_of(s))
+        except PdfError:  # what can't be decoded is as if it weren't there
+            pass
     enc = doc.resolve(d.get("Encoding"))
     if d.get("Subtype") == "Type0":
         f.two_bytes = not isinstance(enc, Name) or enc in ("Identity-H", "Identity-V")

@@ -13,18 +13,21 @@ def parse_ranges(df: DataFrame, spec_col: str, count_col: str, blank_is_all: boo
 
     A spec is 1-based, like `1-3,5`; blank parts are skipped. A blank spec means all pages, or an error.
     """
+    held = "ends"
+    while held in df.columns:
+        held += "_"
     spec = F.trim(F.coalesce(F.col(spec_col), F.lit("")))
     parts = F.filter(F.transform(F.split(spec, ","), lambda x: F.trim(x)), lambda x: x != "")
     ends = F.transform(parts, lambda x: F.struct(F.try_to_number(F.trim(F.regexp_extract(x, r"^(\d+)\s*(?:-\s*\d+)?$", 1)), F.lit("9999999999")).cast("long").alias("lo"), F.try_to_number(F.trim(F.regexp_extract(x, r"^(?:\d+\s*-\s*)?(\d+)$", 1)), F.lit("9999999999")).cast("long").alias("hi")))
-    out = df.withColumn("__ends", ends)
-    bad = F.exists("__ends", lambda x: x["lo"].isNull() | x["hi"].isNull() | (x["lo"] < 1) | (x["hi"] < x["lo"]))
-    beyond = F.exists("__ends", lambda x: x["hi"] > F.col(count_col))
+    out = df.withColumn(held, ends)
+    bad = F.exists(held, lambda x: x["lo"].isNull() | x["hi"].isNull() | (x["lo"] < 1) | (x["hi"] < x["lo"]))
+    beyond = F.exists(held, lambda x: x["hi"] > F.col(count_col))
     empty = spec == ""
-    code = F.when(empty, F.lit(None if blank_is_all else "ERROR")).when(bad | (F.size("__ends") == 0), "ERROR").when(beyond, "PAGE_OUT_OF_RANGE")
+    code = F.when(empty, F.lit(None if blank_is_all else "ERROR")).when(bad | (F.size(held) == 0), "ERROR").when(beyond, "PAGE_OUT_OF_RANGE")
     all_ = F.when(F.col(count_col) > 0, F.sequence(F.lit(0), F.col(count_col).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    listed = F.flatten(F.transform("__ends", lambda x: F.sequence(x["lo"].cast("int") - 1, x["hi"].cast("int") - 1)))
+    listed = F.flatten(F.transform(held, lambda x: F.sequence(x["lo"].cast("int") - 1, x["hi"].cast("int") - 1)))
     out = out.withColumn("code", code)
-    return out.withColumn("pages", F.when(F.col("code").isNotNull(), F.lit(None).cast("array<int>")).when(empty, all_).otherwise(listed)).drop("__ends")
+    return out.withColumn("pages", F.when(F.col("code").isNotNull(), F.lit(None).cast("array<int>")).when(empty, all_).otherwise(listed)).drop(held)
 
 
 def select_pages(pages: DataFrame, wanted: DataFrame, doc_col: str, page_col: str) -> DataFrame:

@@ -18,6 +18,7 @@ from ..kernel.document import Document
 from ..operators import graph, pages
 from ..operators.export import export_json, export_lines
 from ..sources import pdf
+from . import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,9 +145,30 @@ def r_reorder_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.reorder_pages(t, order.unionByName(extra), "conv_id", "turn").select("conv_id", "turn", "valid", "new_index")
 
 
-@query("SELECT conv_id || '-' || turn AS doc, 0 AS page_index, text FROM conversations")
+@query(r"SELECT conv_id || '-' || turn AS doc, 0 AS page_index, regexp_replace(text, '[ \n]+$', '') AS text FROM conversations")
 def r_split_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turns(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn").alias("doc"), F.lit(0).alias("page_index"), "text")
+    """Files are split into files of one page, and these are read."""
+    files = pdf.write_text_pdfs(_turns(spark, sf_dir), "conv_id", "turn", "text").withColumn("path", F.col("conv_id").cast("string"))
+    parts = pdf.split_bytes(files).withColumn("path", F.concat_ws("-", "path", "part"))
+    return pdf.read_bytes(parts, "text").select(F.col("path").alias("doc"), "page_index", "text")
+
+
+@query(r"""
+WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), t AS (SELECT conv_id, turn, n, regexp_replace(text, '[ \n]+$', '') AS text FROM conversations JOIN n USING (conv_id))
+SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'PAGE_OUT_OF_RANGE' END AS code, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE (CASE conv_id % 3 WHEN 1 THEN n - 1 - turn ELSE turn END)::INT END AS page_index,
+  CASE WHEN conv_id % 3 <> 0 THEN text END AS text FROM t WHERE conv_id % 3 = 1 OR turn = 0
+""")
+def r_select_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's own page spec: the first page, all pages from the last to the first, or a page that isn't there."""
+    files = pdf.write_text_pdfs(_turns(spark, sf_dir), "conv_id", "turn", "text").withColumn("path", F.col("conv_id").cast("string"))
+    n = _turns(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("n"))
+    backwards = F.array_join(F.transform(F.sequence(F.col("n"), F.lit(1)), lambda x: x.cast("string")), ",")
+    specs = n.withColumn("spec", F.when(F.col("conv_id") % 3 == 0, F.lit("999999")).when(F.col("conv_id") % 3 == 1, backwards).otherwise(F.lit("1")))
+    change = lambda doc, spec: edit.extract(doc, edit.ranges(spec, doc.page_count()))
+    done = pdf.transform_bytes(files.join(specs, "conv_id"), change, args=("spec",))
+    got = pdf.read_bytes(done.where("error is null"), "text").select("path", F.lit(None).cast("string").alias("code"), "page_index", "text")
+    failed = done.where("error is not null").select("path", F.col("error.code").alias("code"), F.lit(None).cast("int").alias("page_index"), F.lit(None).cast("string").alias("text"))
+    return got.unionByName(failed).select(F.col("path").cast("long").alias("conv_id"), "code", "page_index", "text")
 
 
 @query("SELECT conv_id // 10 AS target, conv_id, turn::INT AS turn, (row_number() OVER (PARTITION BY conv_id // 10 ORDER BY conv_id, turn) - 1)::INT AS new_index FROM conversations")
@@ -160,9 +182,10 @@ def e_joined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.joined_text(_turns(spark, sf_dir), "conv_id", "turn", "text")
 
 
-@query("SELECT conv_id, turn::INT AS page_index, length(text)::INT AS char_count FROM conversations")
+@query(r"SELECT conv_id, turn::INT AS page_index, length(regexp_replace(text, '[ \n]+$', ''))::INT AS char_count FROM conversations")
 def e_page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turns(spark, sf_dir).select("conv_id", F.col("turn").alias("page_index"), F.length("text").alias("char_count"))
+    files = pdf.write_text_pdfs(_turns(spark, sf_dir), "conv_id", "turn", "text").withColumn("path", F.col("conv_id").cast("string"))
+    return pdf.read_bytes(files, "text").select(F.col("path").cast("long").alias("conv_id"), "page_index", "char_count")
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -235,14 +258,25 @@ def g_collect_garbage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT c_custkey AS node, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)::INT AS new_node, c_nationkey AS doc FROM customer)
-SELECT o_orderkey, o_custkey % 7 AS shift, c.new_node AS new_dst FROM orders LEFT JOIN c ON c.node = o_custkey + (o_custkey % 7) * 1000000
+WITH c AS (SELECT c_nationkey AS doc, c_custkey AS node, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)::INT AS new_node FROM customer)
+SELECT o_orderkey, a.new_node AS new_src, b.new_node AS new_dst FROM orders JOIN c a ON a.node = o_custkey LEFT JOIN c b ON b.doc = a.doc AND b.node = o_custkey + o_orderkey % 50
 """)
 def x_rewrite_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References that miss (six sevenths of the orders are sent astray) become null."""
-    c = graph.renumbered(_table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc"), F.col("c_custkey").alias("node")), ["node"])
-    refs = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 7).alias("shift"), (F.col("o_custkey") + (F.col("o_custkey") % 7) * 1000000).alias("node"))
-    return refs.join(c.select("node", F.col("new_node").alias("new_dst")), "node", "left").select("o_orderkey", "shift", "new_dst")
+    """Customers of a nation are a document's objects, in a new order; an order refers from its customer to another,
+    who mostly is of another nation: such references become null."""
+    c = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc"), F.col("c_custkey").alias("node"), "c_acctbal")
+    numbers = graph.renumbered(c, [F.desc("c_acctbal"), "node"])
+    edges = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("src"), (F.col("o_custkey") + F.col("o_orderkey") % 50).alias("dst"))
+    edges = edges.join(c.select("doc", F.col("node").alias("src")), "src")
+    return graph.rewrite_references(edges, numbers).select("o_orderkey", "new_src", "new_dst")
+
+
+@query("SELECT l_orderkey, l_linenumber, p_name AS value FROM lineitem LEFT JOIN part ON p_partkey = l_partkey + (l_linenumber % 2) * 1000000000")
+def g_resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of even numbers refer to their part, others to what isn't there."""
+    refs = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(0).alias("doc"), (F.col("l_partkey") + (F.col("l_linenumber") % 2) * 1000000000).alias("dst"))
+    parts = _table(spark, sf_dir, "part").select(F.lit(0).alias("doc"), F.col("p_partkey").alias("node"), F.col("p_name").alias("value"))
+    return graph.resolve(refs, parts).select("l_orderkey", "l_linenumber", "value")
 
 
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
@@ -283,7 +317,7 @@ def c_digests_and_aes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT doc_id, regexp_replace(text, '[ \n]+$', '') AS text, length(regexp_replace(text, '[ \n]+$', ''))::INT AS char_count FROM documents")
 def s_write_parse_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents become files and are parsed, and their text is extracted."""
-    files = pdf.write_text_pdfs(_table(spark, sf_dir, "documents").withColumn("page", F.lit(0)), "doc_id", "page", "text")
+    files = pdf.write_texts(_table(spark, sf_dir, "documents"), "doc_id", "text")
     got = pdf.read_bytes(files.withColumn("path", F.col("doc_id").cast("string")), "text")
     return got.select(F.col("path").cast("long").alias("doc_id"), "text", "char_count")
 
@@ -369,3 +403,82 @@ def s_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = export_json(_turns(spark, sf_dir), "conv_id", "turn", "text", max_chars=600, overlap=100)
     x = F.from_json("json", "page_count int, chunks array<struct<id:int>>")
     return out.select("conv_id", x.alias("x")).select("conv_id", "x.page_count", F.size("x.chunks").alias("chunk_count"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '[ \n]+$', '') AS text FROM documents")
+def s_compact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with object streams and a cross-reference stream behind a predictor are read."""
+    files = pdf.write_texts(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("path", F.col("doc_id").cast("string"))
+    got = pdf.read_bytes(pdf.transform_bytes(files, fixtures.compact), "text")
+    return got.select(F.col("path").cast("long").alias("doc_id"), "text")
+
+
+@query("SELECT doc_id, kind, md5(text) AS md5 FROM documents, (VALUES ('png'), ('tiff')) k(kind)")
+def f_predictors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flate streams behind all five PNG row filters, and behind the TIFF predictor with three colors, are undone."""
+    import hashlib
+
+    from ..kernel.model import Name
+
+    png = {"Filter": Name("FlateDecode"), "DecodeParms": {"Predictor": 15, "Columns": 20, "Colors": 3}}
+    tiff = {"Filter": [Name("Fl")], "DP": [{"Predictor": 2, "Columns": 20, "Colors": 3}]}
+
+    def fn(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            out = []
+            for i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                raw = (t or "").encode()
+                for kind, d, held in (("png", png, fixtures.png_encoded(raw, 60, 3)), ("tiff", tiff, fixtures.tiff_encoded(raw, 60, 3))):
+                    out.append({"doc_id": i, "kind": kind, "md5": hashlib.md5(filters.decode_stream(d, filters.deflate(held))).hexdigest()})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("md5", pa.string())]))
+
+    return _table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(fn, "doc_id long, kind string, md5 string")
+
+
+@query(r"SELECT item_id, version, regexp_replace(text, '[ \n]+$', '') AS by_user, regexp_replace(text, '[ \n]+$', '') AS by_owner, 'WRONG_PASSWORD' AS with_wrong FROM benchmark, (VALUES (1), (2), (4)) v(version)")
+def c_legacy_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files under RC4 of 40 and 128 bits and under AES-128 are opened by either password, and not by a wrong one."""
+    files = pdf.write_texts(_table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("version", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))))
+    files = files.withColumn("path", F.concat_ws("|", "item_id", "version"))
+    locked = pdf.transform_bytes(files, lambda doc, version: fixtures.legacy_encrypted(doc, "user", "owner", version), args=("version",))
+    tries = F.explode(F.array(F.lit("user"), F.lit("owner"), F.lit("bad")))
+    got = pdf.read_bytes(locked.withColumn("password", tries).withColumn("path", F.concat_ws("|", "path", "password")), "text", password_col="password")
+    at = lambda k: F.split_part("path", F.lit("|"), F.lit(k))
+    got = got.select(at(1).cast("long").alias("item_id"), at(2).cast("int").alias("version"), at(3).alias("pw"), "text", F.col("error.code").alias("code"))
+    pick = lambda pw, c: F.max(F.when(F.col("pw") == pw, F.col(c)))
+    return got.groupBy("item_id", "version").agg(pick("user", "text").alias("by_user"), pick("owner", "text").alias("by_owner"), pick("bad", "code").alias("with_wrong"))
+
+
+@query(r"""
+WITH w AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM benchmark)
+SELECT item_id, array_to_string(list_transform(range(1, 6), lambda i: CASE i WHEN 2 THEN 'AB!' WHEN 4 THEN '漢字😀' ELSE 'x' END || coalesce(w[i], '')), chr(10) || chr(10)) AS text FROM w
+""")
+def n_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five words by five ways of showing text: encodings, differences, Unicode maps, forms, graphics and text state."""
+    import re
+
+    def fn(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            made = []
+            for t in b.column(1).to_pylist():
+                w = [*re.findall("[A-Za-z0-9]+", t or ""), *[""] * 5][:5]
+                made.append(fixtures.many_fonts(*(x + y for x, y in zip(("x", "AB!", "x", "漢字😀", "x"), w, strict=True))).to_bytes())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(made, pa.binary())], ["path", "content"])
+
+    files = _table(spark, sf_dir, "benchmark").select("item_id", "text").mapInArrow(fn, "path string, content binary")
+    return pdf.read_bytes(files, "text").select(F.col("path").cast("long").alias("item_id"), "text")
+
+
+@query("""
+SELECT doc_id, lang AS title, CASE WHEN doc_id % 2 = 0 THEN source END AS author, NULL::VARCHAR AS subject FROM documents
+""")
+def m_file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's own update as JSON: a title, an author or none, and a subject that is set and then deleted."""
+    from .. import api
+
+    d = _table(spark, sf_dir, "documents")
+    update = F.to_json(F.struct(F.col("lang").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("author"), F.lit("gone é").alias("subject")))
+    files = pdf.write_texts(d.withColumn("none", F.lit("")), "doc_id", "none").join(d.select("doc_id", update.alias("update")), "doc_id").withColumn("path", F.col("doc_id").cast("string"))
+    change = lambda doc, new: api.set_metadata(api.set_metadata(doc.to_bytes(), new), {"subject": ""})
+    got = pdf.read_bytes(pdf.transform_bytes(files, change, args=("update",)), "meta")
+    return got.select(F.col("path").cast("long").alias("doc_id"), "metadata.title", "metadata.author", "metadata.subject")

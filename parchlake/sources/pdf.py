@@ -7,6 +7,10 @@ Reading has four levels: `meta` (a row per file), `pages` (a row per page, witho
 
 from __future__ import annotations
 
+import glob
+import os
+import shutil
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..functions.batches import bounded
 from ..kernel import edit, text
 from ..kernel.document import Document
 from ..kernel.model import PdfError, edges, serialize
@@ -28,6 +33,10 @@ SCHEMAS = {
 }
 
 
+#: What a malformed file can raise.
+FAULTS = (PdfError, RecursionError, ValueError, IndexError, TypeError, KeyError, OverflowError)
+
+
 def _failed(e: Exception) -> dict:
     return {"code": getattr(e, "code", "ERROR"), "message": str(e)[:500]}
 
@@ -51,7 +60,7 @@ def _text(path: str, data: bytes, doc: Document) -> Iterator[dict]:
         try:
             t = text.page_text(doc, ref)
             yield {"path": path, "page_index": k, "text": t, "char_count": len(t)}
-        except PdfError as e:
+        except FAULTS as e:
             yield {"path": path, "page_index": k, "error": _failed(e)}
 
 
@@ -68,7 +77,7 @@ def rows_of(level: str, path: str, data: bytes, password: str = "") -> Iterator[
     """Rows of one file; an error becomes a row. Only the level's own work is done."""
     try:
         yield from ROWS[level](path, data, Document.load(data, password))
-    except (PdfError, RecursionError, ValueError, IndexError, TypeError, OverflowError) as e:
+    except FAULTS as e:
         yield {"path": path, "error": _failed(e)} | ({"length": len(data)} if level == "meta" else {})
 
 
@@ -87,6 +96,7 @@ def read_bytes(files: DataFrame, level: str = "text", path_col: str = "path", co
                     yield pa.RecordBatch.from_pylist(rows[k : k + 1000], schema=arrow)
 
     pw = F.col(password_col) if password_col else F.lit("")
+    bounded(files.sparkSession)
     return files.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).alias("content"), pw.alias("password")).mapInArrow(fn, schema)
 
 
@@ -95,23 +105,41 @@ def read_pdf(spark: SparkSession, path: str, level: str = "text", password: str
     return read_bytes(files.withColumn("password", F.lit(password)), level, password_col="password")
 
 
-def transform_bytes(files: DataFrame, change: Callable[[Document], Document], path_col: str = "path", content_col: str = "content", password: str = "") -> DataFrame:
-    """(path, content, error): each file changed and written anew; files that fail have no content."""
-    schema = "path string, content binary, error struct<code:string,message:string>"
-    kind = pa.struct([("code", pa.string()), ("message", pa.string())])
+def _outputs(files: DataFrame, made: Callable[..., Iterable], path_col: str, content_col: str, password: str, password_col: str | None, args: tuple[str, ...]) -> DataFrame:
+    """(path, part, content, error): what `made(document, *args)` gives of each file, args being its row's values."""
+    schema = "path string, part int, content binary, error struct<code:string,message:string>"
+    arrow = pa.schema([("path", pa.string()), ("part", pa.int32()), ("content", pa.binary()), ("error", pa.struct([("code", pa.string()), ("message", pa.string())]))])
 
     def fn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(*b.columns, strict=True):
-                out = error = None
+            for path, content, pw, *own in zip(*b.columns, strict=True):
+                k = 0
                 try:
-                    done = change(Document.load(content.as_py() or b"", password))
-                    out = done if isinstance(done, bytes) else done.to_bytes()
-                except (PdfError, RecursionError, ValueError, IndexError, TypeError, OverflowError) as e:
-                    error = _failed(e)
-                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([out], pa.binary()), pa.array([error], kind)], ["path", "content", "error"])
+                    for done in made(Document.load(content.as_py() or b"", pw.as_py() or ""), *(x.as_py() for x in own)):
+                        out = done if isinstance(done, bytes) else done.to_bytes()
+                        yield pa.RecordBatch.from_pylist([{"path": path.as_py(), "part": k, "content": out}], arrow)
+                        k += 1
+                except FAULTS as e:
+                    yield pa.RecordBatch.from_pylist([{"path": path.as_py(), "part": k, "error": _failed(e)}], arrow)
+
+    bounded(files.sparkSession)
+    pw = F.col(password_col).cast("string") if password_col else F.lit(password)
+    return files.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).alias("content"), pw.alias("password"), *(F.col(c).alias(f"arg{k}") for k, c in enumerate(args))).mapInArrow(fn, schema)
+
 
-    return files.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).alias("content")).mapInArrow(fn, schema)
+def transform_bytes(files: DataFrame, change: Callable[..., Document], path_col: str = "path", content_col: str = "content", password: str = "", password_col: str | None = None, args: tuple[str, ...] = ()) -> DataFrame:
+    """(path, content, error): each file changed and written anew; files that fail have no content.
+
+    Passwords come from a column, if one is named, and so do further arguments of `change`: each row's own page spec,
+    angle, box or metadata.
+    """
+    return _outputs(files, lambda doc, *own: [change(doc, *own)], path_col, content_col, password, password_col, args).drop("part")
+
+
+def split_bytes(files: DataFrame, path_col: str = "path", content_col: str = "content", password: str = "", password_col: str | None = None) -> DataFrame:
+    """(path, part, content, error): a file of one page for each page, made one after the other."""
+    pages = lambda doc: (edit.extract(doc, [k]) for k in range(len(doc.page_refs())))
+    return _outputs(files, pages, path_col, content_col, password, password_col, ())
 
 
 def merge_bytes(files: DataFrame, group_col: str, order_col: str, content_col: str = "content") -> DataFrame:
@@ -126,23 +154,35 @@ def merge_bytes(files: DataFrame, group_col: str, order_col: str, content_col: s
                 out = err = None
                 try:
                     out = edit.merge([Document.load(p["c"]) for p in b.column(1)[k].as_py()]).to_bytes()
-                except (PdfError, RecursionError, ValueError, IndexError, TypeError, OverflowError) as e:
+                except FAULTS as e:
                     err = _failed(e)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([out], pa.binary()), pa.array([err], error)], ["grp", "content", "error"])
 
+    bounded(files.sparkSession)
     return rows.mapInArrow(fn, f"grp {kind}, content binary, error struct<code:string,message:string>").withColumnRenamed("grp", group_col)
 
 
 def write_text_pdfs(pages: DataFrame, doc_col: str, page_col: str, text_col: str) -> DataFrame:
     """(doc, content): a file for each document, from its pages' texts."""
-    kind = dict(pages.dtypes)[doc_col]
     docs = pages.groupBy(F.col(doc_col).alias("doc")).agg(F.sort_array(F.collect_list(F.struct(F.col(page_col).alias("p"), F.coalesce(F.col(text_col), F.lit("")).alias("t")))).alias("pages"))
+    return _written(docs, doc_col)
+
+
+def write_texts(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
+    """(doc, content): a file of one page for each row, without a shuffle; repeated ids give several files."""
+    page = F.struct(F.lit(0).alias("p"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return _written(docs.select(F.col(doc_col).alias("doc"), F.array(page).alias("pages")), doc_col)
+
+
+def _written(docs: DataFrame, doc_col: str) -> DataFrame:
+    kind = dict(docs.dtypes)["doc"]
 
     def fn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [edit.text_document([x["t"] for x in p]).to_bytes() for p in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc", "content"])
 
+    bounded(docs.sparkSession)
     return docs.mapInArrow(fn, f"doc {kind}, content binary").withColumnRenamed("doc", doc_col)
 
 
@@ -162,9 +202,6 @@ class _Reader(DataSourceReader):
         self.options, self.names = options, names
 
     def partitions(self) -> list[InputPartition]:
-        import glob
-        import os
-
         path = self.options["path"].removeprefix("file://")
         found = sorted(glob.glob(f"{path}/*.pdf")) if os.path.isdir(path) else sorted(glob.glob(path))
         return [_Part(p) for p in found]
@@ -177,25 +214,57 @@ class _Reader(DataSourceReader):
             yield tuple(_tupled(row.get(n)) for n in self.names)
 
 
+class _Message(WriterCommitMessage):
+    def __init__(self, written: list[tuple[str, str]]) -> None:
+        self.written = written
+
+
 class _Writer(DataSourceWriter):
-    """Writes rows (path, content) as files below the target folder, each under its own name."""
+    """Writes rows (path, content) as files below the target folder; rows without content are passed over.
 
-    def __init__(self, options: dict) -> None:
-        self.options = options
+    A relative path stays as it is, of others the last part counts. Files appear when the whole job has succeeded. Two
+    rows of one name, or a file that is there already (unless the mode is overwrite, which removes all files first),
+    are an error.
+    """
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        import os
+    def __init__(self, options: dict, overwrite: bool) -> None:
+        self.folder, self.overwrite = options["path"].removeprefix("file://"), overwrite
+        self.held = f"{self.folder}/.parchlake-{uuid.uuid4().hex}"
 
-        folder = self.options["path"].removeprefix("file://")
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            name = os.path.basename(str(r[0]).rstrip("/"))
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        os.makedirs(self.held, exist_ok=True)
+        written = []
+        for path, content, *_ in rows:
+            if content is None:
+                continue
+            name = str(path).rstrip("/")
+            if name.startswith("/") or "://" in name or name.startswith("file:") or ".." in name.split("/"):
+                name = os.path.basename(name)
             name = name if name.endswith(".pdf") else f"{name}.pdf"
-            tmp = os.path.join(folder, f".{name}.{os.getpid()}")
+            tmp = f"{self.held}/{uuid.uuid4().hex}"
             with open(tmp, "wb") as f:
-                f.write(bytes(r[1]))
-            os.replace(tmp, os.path.join(folder, name))
-        return WriterCommitMessage()
+                f.write(bytes(content))
+            written.append((tmp, name))
+        return _Message(written)
+
+    def commit(self, messages: list) -> None:
+        written = [x for m in messages if m is not None for x in m.written]
+        names = sorted(n for _, n in written)
+        twice = [a for a, b in zip(names, names[1:], strict=False) if a == b]
+        there = [] if self.overwrite else [n for n in names if os.path.exists(f"{self.folder}/{n}")]
+        if twice or there:
+            self.abort(messages)
+            raise ValueError(f"files of one name: {(twice + there)[:5]}")
+        if self.overwrite:
+            for old in glob.glob(f"{glob.escape(self.folder)}/**/*.pdf", recursive=True):
+                os.remove(old)
+        for tmp, name in written:
+            os.makedirs(os.path.dirname(f"{self.folder}/{name}"), exist_ok=True)
+            os.replace(tmp, f"{self.folder}/{name}")
+        shutil.rmtree(self.held, ignore_errors=True)
+
+    def abort(self, messages: list) -> None:
+        shutil.rmtree(self.held, ignore_errors=True)
 
 
 class PdfDataSource(DataSource):
@@ -212,7 +281,7 @@ class PdfDataSource(DataSource):
         return _Reader(dict(self.options), schema.names)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(dict(self.options))
+        return _Writer(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:

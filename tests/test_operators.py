@@ -92,3 +92,28 @@ def test_queries_against_sql(spark, name):
     want = con.sql(SQL[name])
     at = [want.columns.index(c) for c in cols]
     assert sorted(map(repr, (tuple(r[c] for c in cols) for r in got.collect()))) == sorted(map(repr, (tuple(r[i] for i in at) for r in want.fetchall())))
+
+
+def test_sink_keeps_folders_and_refuses_clashes(spark, tmp_path):
+    pdf.register(spark)
+    made = edit.text_document(["x"]).to_bytes()
+    rows = [("a/one", made), ("b/one.pdf", made), ("/far/two.pdf", made), ("none", None)]
+    write = lambda rows, mode="append": spark.createDataFrame(rows, "path string, content binary").write.format("pdf").mode(mode).save(str(tmp_path / "out"))
+    write(rows)
+    names = lambda: sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.pdf"))
+    assert names() == ["a/one.pdf", "b/one.pdf", "two.pdf"]
+    for bad in ([("x", made), ("x.pdf", made)], [("/elsewhere/two", made)]):
+        with pytest.raises(Exception, match="files of one name"):
+            write(bad)
+    assert names() == ["a/one.pdf", "b/one.pdf", "two.pdf"]
+    write([("new", made)], "overwrite")
+    assert names() == ["new.pdf"]
+
+
+def test_arguments_of_rows_and_clashing_columns(spark):
+    files = pdf.write_texts(spark.createDataFrame([(1, "a"), (2, None), (2, "b")], "n int, t string"), "n", "t").withColumn("angle", F.col("n") * 90 + F.when(F.col("n") == 3, 1).otherwise(0))
+    done = pdf.transform_bytes(files.withColumn("path", F.col("n").cast("string")), lambda doc, angle: edit.rotate(doc, [0], angle), args=("angle",))
+    assert sorted((r["path"], r["rotate"]) for r in pdf.read_bytes(done, "pages").collect()) == [("1", 90), ("2", 180), ("2", 180)]
+    df = spark.createDataFrame([("1-2", 3, "kept")], "s string, n int, ends string")
+    got = pages.parse_ranges(df, "s", "n").first()
+    assert got["ends"] == "kept" and got["pages"] == [0, 1]
