@@ -1,7 +1,8 @@
 """WARC archives with an externally merged capture index (operator 1).
 
 Writing: one record per page, as Spark text files whose lines end with the record separator, so the bytes on disk
-are the archive's own (gzip-compressed). Of pages with equal payloads the one with the largest id is a `response`
+are the archive's own (gzip-compressed); an archive has at most ``RECORDS_PER_FILE`` records, fewer where the longest payload
+times their number would be over ``BYTES_PER_FILE``. Of pages with equal payloads the one with the largest id is a `response`
 that holds the payload; the others are `revisit` records that refer to it. Reading parses the archives by their
 content lengths, checks payload digests, and makes of each archive a capture run sorted by (URL key, time, id).
 The index merge deals all runs into ranges of these keys (sampled splitters, a bounded number of rows each) and
@@ -26,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, table
+from .common import cut, in_arrow, shared_dir, table
 
-RECORDS_PER_FILE = 2000
+RECORDS_PER_FILE, BYTES_PER_FILE = 2000, 1 << 28
+BROADCAST_ROWS = 500_000
 ROWS_PER_RANGE = 50_000
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -49,8 +51,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     ts = F.date_format(F.col(ts_col), "yyyy-MM-dd'T'HH:mm:ss'Z'") if ts_col else F.lit("2020-01-01T00:00:00Z")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), ts.alias("ts"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha"))
-    largest = rows.groupBy("sha").agg(F.max("id").alias("top"))
-    rows = rows.join(largest, "sha")
+    # only payloads that come more than once need another row; their digests are broadcast if they are counted to be few
+    again = cut(rows.groupBy("sha").agg(F.max("id").alias("top"), F.count("*").alias("n"), F.max(F.octet_length("payload")).alias("most")), "warc-payloads")
+    most = again.agg(F.max("most").alias("m")).first()["m"] or 1
+    again = again.where("n > 1").select("sha", "top", F.lit(True).alias("again"))
+    rows = rows.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, "sha", "left").withColumn("top", F.when(F.col("again"), F.col("top")).otherwise(F.col("id")))
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     header = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
     revisit = ~F.col("id").eqNullSafe(F.col("top"))
@@ -64,7 +69,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         header("Content-Type", F.lit("application/http;msgtype=response")), header("Content-Length", (F.octet_length(http) + F.when(revisit, 0).otherwise(size)).cast("string")),
         F.lit("\r\n"), http, F.when(revisit, "").otherwise(F.col("payload")),
     )
-    rows.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, min(RECORDS_PER_FILE, BYTES_PER_FILE // most))).text(path)
     return path
 
 
@@ -122,7 +127,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)), pa.array([run] * len(rows))], names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content").mapInArrow(fn, CAPTURE)
+    return in_arrow(spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content"), fn, CAPTURE)
 
 
 class LoserTree:
@@ -184,7 +189,7 @@ def merge_index(runs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFr
             cols = zip(*LoserTree(pieces, order_of), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema.names)
 
-    return runs.repartitionByRange(ranges, *keys).sortWithinPartitions("run", *keys).mapInArrow(fn, runs.schema)
+    return in_arrow(runs.repartitionByRange(ranges, *keys).sortWithinPartitions("run", *keys), fn, runs.schema)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
