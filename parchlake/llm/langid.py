@@ -1,8 +1,8 @@
 """Language identification by fusion of evidence (operator 6).
 
-The text likelihood comes from hashed byte trigrams (``BUCKETS`` of them), trained on at most ``TRAIN_ROWS`` labelled
-documents (those with the least hash of their id), and as many again of the languages that these lack, until every
-labelled language has its counts. For every page, evidence is combined in log space:
+The text likelihood comes from hashed byte trigrams (``BUCKETS`` of them), trained on a sample of labelled documents: of
+each language the share of ``TRAIN_ROWS`` in all of them, or more where that gives fewer rows than an even part of a
+quarter of ``TRAIN_ROWS`` (and 50) would; ids choose by their hash, and rows are read in place. For every page, evidence is combined in log space:
 
 * the text: its mean log likelihood per trigram, worth at most ``TEXT_WEIGHT`` trigrams;
 * the declared markup language (`<html lang>`), by how often it goes with each language over all pages;
@@ -75,17 +75,22 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         counts: dict[str, np.ndarray] = {}
         for lang, t in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True):
             counts[lang] = counts.get(lang, 0) + np.bincount(trigrams(t), minlength=BUCKETS)
-        return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c.astype(np.int64).tobytes() for c in counts.values()])], ["lang", "counts"])
-
-    sums: dict[str, np.ndarray] = {}
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    while lacking := [x for x in langs if x not in sums]:
-        sample = known.where(F.col("lang").isin(lacking)).orderBy("h").limit(rows) if sums else known.orderBy("h").limit(rows)
-        for r in mapped(sample.select("lang", "text"), fn, "lang string, counts binary").collect():  # a few rows for each language
-            sums[r["lang"]] = sums.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int64)
+        at = [np.flatnonzero(c) for c in counts.values()]
+        names = [x for x, k in zip(counts, at, strict=True) for _ in k]
+        n = np.concatenate([c[k] for c, k in zip(counts.values(), at, strict=True)])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(at).astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "k", "n"])
+
+    rows_of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(rows_of)
     if not langs:
         return [], np.zeros((0, BUCKETS))
-    table_ = np.stack([sums[x] for x in langs]) + 0.5
+    share, least = rows / sum(rows_of.values()), max(50, rows / (4 * len(langs)))
+    shares = known.sparkSession.createDataFrame([(x, float(max(share, least / n))) for x, n in rows_of.items()], "lang string, share double")
+    sample = known.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    table_ = np.full((len(langs), BUCKETS), 0.5)
+    at = {x: i for i, x in enumerate(langs)}
+    for r in mapped(sample.select("lang", "text"), fn, "lang string, k int, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows a language at most
+        table_[at[r["lang"]], r["k"]] += r["n"]
     return langs, np.log(table_ / table_.sum(1, keepdims=True))
 
 
