@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade (operator 9).
 
-Each rule has a cost and a share of documents that it rejects. Both are measured on a sample of at most
-``SAMPLE_ROWS`` rows; rules then run in the order of rejections per second, and the first that rejects ends the
+Each rule has a cost and a share of documents that it rejects. Both are measured where the rows are, on a random sample
+of about ``SAMPLE_ROWS`` rows (a share of all, which are counted); rules then run in the order of rejections per second, and the first that rejects ends the
 work on that document. The sample decides the order alone: a document is kept if and only if no rule rejects it,
 so verdicts are the same for every order.
 
@@ -105,7 +105,8 @@ def measured(df: DataFrame, text_col: str, sample_rows: int) -> list[tuple[str,
             out.append((name, time.perf_counter() - began, bad, len(texts)))
         return pa.RecordBatch.from_pydict(dict(zip(("rule", "s", "bad", "n"), map(list, zip(*out, strict=True)), strict=True)))
 
-    rows = mapped(df.select(F.col(text_col).alias("text")).limit(sample_rows), fn, "rule string, s double, bad long, n long")
+    share = min(1.0, sample_rows / max(1, df.count()))
+    rows = mapped(df.select(F.col(text_col).alias("text")).sample(share, 9), fn, "rule string, s double, bad long, n long")
     return [(r["rule"], r["s"] / max(1, r["n"]), r["bad"] / max(1, r["n"])) for r in rows.groupBy("rule").agg(F.sum("s").alias("s"), F.sum("bad").alias("bad"), F.sum("n").alias("n")).collect()]
 
 
