@@ -3,8 +3,8 @@
 The host is what stands between the first `://` and the next `/`, `?`, `#` or the end, with A-Z lower-cased; the path follows up
 to `?`, `#` or the end. A rule (host, path) fits its host and all subdomains if the path starts with its path; of
 several the longest wins. URLs that a rule decides are the labelled ones: from the counts over all of them come
-smoothed block rates by suffix and by first path segment, and a sample of at most ``TRAIN_ROWS`` of them (those with the smallest hash)
-trains the trees. The trees judge every URL that no rule fits; without labels of both kinds the more frequent
+smoothed block rates by suffix and by first path segment, and a sample of about ``TRAIN_ROWS`` of them (at most twice as
+many, chosen by a hash of id and URL against the share of ``TRAIN_ROWS`` in all) trains the trees. The trees judge every URL that no rule fits; without labels of both kinds the more frequent
 label is given, and `allow` without any.
 
 Cases: a null URL, or one without `://`, has an empty host and path and is judged by the trees like any other; urls
@@ -146,7 +146,9 @@ def trained(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[dict[int
     n, bad = sum(c["n"] for c in counts), sum(c["bad"] for c in counts)
     overall = bad / n if n else 0.0
     rates = {c["k"]: (c["bad"] + 10 * overall) / (c["n"] + 10) for c in counts}
-    rows = labelled.select("url", "host", "path", "verdict").orderBy(F.xxhash64("url"), "url").limit(train_rows).collect()
+    h = F.xxhash64("id", "url")
+    drawn = labelled.where(F.pmod(h, F.lit(1 << 40)) < F.lit((1 << 40) * train_rows / max(1, n // 2)))  # n counts each row twice
+    rows = drawn.select("url", "host", "path", "verdict", h.alias("h")).orderBy("h", "url").limit(2 * train_rows).collect()
     x = np.array([lexical(r["url"], r["host"], r["path"], rates, overall) for r in rows], float)
     y = np.array([r["verdict"] == "block" for r in rows], float)
     return rates, overall, Trees().fit(x, y) if len(rows) else Trees()
