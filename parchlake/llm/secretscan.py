@@ -42,14 +42,25 @@ _CONTEXT_WORDS = (b"pass", b"pwd", b"secret", b"token", b"api_key", b"apikey", b
 
 #: Words that guessers try first, in the order of trial.
 COMMON_WORDS = "password admin welcome letmein dragon monkey master login secret token access qwerty shadow summer winter spring autumn hello love test guest root user default changeme example sample public private server".split()
-#: Rows of a keyboard.
+#: Rows of a keyboard, and the same with the shift key. Keys of neighbouring rows touch in the same place and one to the left.
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
+SHIFTED = "!@#$%^&*()"
+#: Characters of the longest unit whose repeat is seen.
+UNIT = 64
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?")
 _TIME = re.compile(r"(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?")
 _URL = re.compile(r"(?:[a-z][a-z0-9+.-]*://|www\.)", re.I)
 #: What joins words within a value.
 JOINTS = "-_/.:+&="
-_NEXT = {(a, b) for row in KEY_ROWS for x, y in zip(row, row[1:], strict=False) for a, b in ((x, y), (y, x))}
+_KEY_AT = {c: (r, k) for r, row in enumerate(KEY_ROWS) for k, c in enumerate(row)} | {c: (0, k) for k, c in enumerate(SHIFTED)}
+
+
+def _step(a: str, b: str) -> tuple[int, int] | None:
+    """The way from a key to one that touches it, as (rows, places)."""
+    if a not in _KEY_AT or b not in _KEY_AT:
+        return None
+    step = _KEY_AT[b][0] - _KEY_AT[a][0], _KEY_AT[b][1] - _KEY_AT[a][1]
+    return step if step in ((0, 1), (0, -1), (1, 0), (1, -1), (-1, 0), (-1, 1)) else None
 
 
 @functools.cache
@@ -72,22 +83,25 @@ def _brute_bits(c: str) -> float:
 def guess_bits(value: str, enough: float = math.inf, words: tuple[dict[str, int], int] | None = None) -> float:
     """log2 of the guesses for the cheapest segmentation of the value.
 
-    A segment costs: a word its rank (and a bit for capitals); a date or time the number of these; a repeat its
-    unit's cost and its count; a keyboard walk its start and its length; any other character its alphabet. Each
-    further segment costs one bit more. Every segment is looked at from its end, so the work is linear in the
+    A segment costs: a word its rank (and a bit for capitals); a date or time the number of these; a run of one
+    character its alphabet and its length; a repeat of what stands just before it (``UNIT`` characters at most) one bit;
+    a keyboard walk over touching keys its start, its length and two bits for each turn; any other character its
+    alphabet. Each further segment costs one bit more. Every segment is looked at from its end, so the work is linear in the
     value's length for words, dates and walks of bounded length. It stops where no way to go on costs less than
     `enough`, and gives a cost of at least that.
     """
     rank, longest = words or word_ranks()
-    reach = max(longest, 12)
+    reach = max(longest, 12, UNIT)
     low, n = value.lower(), len(value)
     best = [0.0] + [math.inf] * n
     above = 0  # positions up to here, without a break, that cost enough
-    run = walk = 0  # lengths of the repeat of one character and of the keyboard walk that end here
+    run = walk = turns = 0  # lengths of the run of one character and of the keyboard walk that end here, and its turns
+    way = None
     for i in range(1, n + 1):
         c = low[i - 1]
         run = run + 1 if i > 1 and value[i - 1] == value[i - 2] else 1
-        walk = walk + 1 if i > 1 and (low[i - 2], c) in _NEXT else 1
+        before, way = way, _step(low[i - 2], c) if i > 1 else None
+        walk, turns = (walk + 1, turns + (before not in (None, way))) if way else (1, 0)
         found = [(best[i - 1], _brute_bits(value[i - 1]), False)]
         for k in range(2, min(i, reach) + 1):
             w = low[i - k : i]
@@ -99,11 +113,11 @@ def guess_bits(value: str, enough: float = math.inf, words: tuple[dict[str, int]
                 found.append((best[i - k], math.log2(200 * (12 if k > 4 else 1) * (31 if k > 7 else 1)), i > k))
         if run >= 3:
             found.append((best[i - run], _brute_bits(value[i - 1]) + math.log2(run), i > run))
-        for unit in range(2, min(8, i // 2) + 1):
-            if value[i - unit : i] == value[i - 2 * unit : i - unit]:
+        for unit in range(2, min(UNIT, i // 2) + 1):
+            if value[i - 1] == value[i - 1 - unit] and value[i - unit : i] == value[i - 2 * unit : i - unit]:
                 found.append((best[i - unit], 1.0, False))
         if walk >= 3:
-            found.append((best[i - walk], math.log2(47) + math.log2(walk), i > walk))
+            found.append((best[i - walk], math.log2(47) + math.log2(walk) + 2 * turns, i > walk))
         best[i] = min(b + s + more for b, s, more in found)
         above = above + 1 if best[i] >= enough else 0
         if above > reach and best[i - run] >= enough and best[i - walk] >= enough:  # all that segments can begin at
