@@ -8,7 +8,8 @@ segmentation of the highest score counts; of equal scores, the one with fewest t
 Distinct pre-tokens go into a trie. The forward score of a node, the best score of any segmentation of the prefix
 that it stands for, is computed once, when the node is made, from the nodes above it: words that share a prefix
 share that work. A terminal node keeps the number of tokens, and a document's count is the sum over its pre-tokens.
-The trie starts anew beyond ``MAX_NODES`` nodes, so memory is bounded and results don't change.
+The trie starts anew beyond ``MAX_NODES`` nodes, and words of more than ``LONG`` characters get no nodes but a window of
+the scores that pieces reach back to, so memory is bounded and results don't change.
 
 Cases: a null text is empty and has no tokens; whole texts and words of any length count; repeated rows give
 repeated results; an empty table gives an empty result; columns other than the two named are ignored.
@@ -17,6 +18,8 @@ repeated results; an empty table gives an empty result; columns other than the t
 from __future__ import annotations
 
 import math
+from collections import deque
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Remembered, byte_texts, mapped, table
 from .pieces import MARK, default_model, vocabulary
 
-MAX_NODES = 400_000
+MAX_NODES, LONG = 400_000, 10_000
 
 
 class PieceTrie:
@@ -43,23 +46,15 @@ class PieceTrie:
     def insert(self, word: bytes) -> int:
         """Walks or makes the word's nodes; returns the token count of its terminal node."""
         text = MARK + word.decode("utf-8", "replace")
+        if len(text) > LONG:
+            return self.rolled(text)
         if len(self.best) + len(text) > self.max_nodes:
             self.clear()
-        path, scores = [0], self.scores
+        path = [0]
         for i, c in enumerate(text, 1):
             node = self.child.get((path[-1], c))
             if node is None:
-                top, tokens = -math.inf, 0
-                for k in range(1, min(i, self.longest) + 1):
-                    s, n = scores.get(text[i - k : i]), 1
-                    if s is None:
-                        if k > 1:
-                            continue
-                        n = len(c.encode())
-                        s = n * self.byte_score
-                    s, n = s + self.best[path[i - k]], n + self.count[path[i - k]]
-                    if s > top or s == top and n < tokens:
-                        top, tokens = s, n
+                top, tokens = self.forward(text, i, lambda k: (self.best[path[-k]], self.count[path[-k]]))
                 node = len(self.best)
                 self.child[path[-1], c] = node
                 self.best.append(top)
@@ -68,6 +63,28 @@ class PieceTrie:
             path.append(node)
         return self.count[path[-1]]
 
+    def forward(self, text: str, i: int, back: Callable[[int], tuple[float, int]]) -> tuple[float, int]:
+        """The best score of the first i characters, and its tokens; back(k): the same of k characters fewer."""
+        top, tokens = -math.inf, 0
+        for k in range(1, min(i, self.longest) + 1):
+            s, n = self.scores.get(text[i - k : i]), 1
+            if s is None:
+                if k > 1:
+                    continue
+                n = len(text[i - 1].encode())
+                s = n * self.byte_score
+            before, more = back(k)
+            s, n = s + before, n + more
+            if s > top or s == top and n < tokens:
+                top, tokens = s, n
+        return top, tokens
+
+    def rolled(self, text: str) -> int:
+        window: deque[tuple[float, int]] = deque([(0.0, 0)], self.longest)
+        for i in range(1, len(text) + 1):
+            window.append(self.forward(text, i, lambda k: window[-k]))
+        return window[-1][1]
+
 
 def zipf_scores(v) -> tuple[dict[str, float], float]:  # noqa: ANN001
     ranked = sorted(v.ids, key=v.ids.get)
