@@ -31,10 +31,10 @@ from .common import in_arrow, parts, table
 
 MARK = "▁"
 #: Remembered segments that a task may leave for the next one.
-LEFT = 100_000
+LEFT = 50_000
 #: Segments that are remembered, characters of the texts that are encoded together, and symbols of the longest segment
 #: whose agenda is a matrix row.
-MOST, CHARACTERS, SHORT = 600_000, 1_000_000, 32
+MOST, CHARACTERS, SHORT = 300_000, 1_000_000, 32
 NEVER = 1 << 30
 
 
@@ -253,7 +253,7 @@ class Vocabulary:
             for got, k, w in lack:
                 got[k] = new[w]
             if len(self.memo) + len(new) > MOST:
-                self.memo = {}
+                self.forget()
             # very long ones would make the bound on entries no bound on bytes
             self.memo |= new if max(map(len, new), default=0) <= 256 else {w: x for w, x in new.items() if len(w) <= 256}
             for got, text in zip(known, texts[first:at], strict=True):
