@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 K, W, N = 5, 4, 8
 BROADCAST_ROWS = 200_000
@@ -118,6 +118,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     hits, windows = find_hits(docs, bench, id_col, text_col, **names)
     spans = hits.groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("s"))  # at most a few for each word of one text
     spans = spans.select("key", F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))).alias("hit"))
+    windows = F.broadcast(windows) if windows.count() <= names.get("broadcast_rows", BROADCAST_ROWS) else windows
     pairs = hits.select("key", "n", "fp", "win").distinct().join(windows, ["n", "fp", "win"]).select("key", "item").distinct()
     items = pairs.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
     return spans.join(items, "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
@@ -140,18 +141,24 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_items: int = 2, **names) -> DataFrame:  # noqa: ANN003
     """Contaminated rows go; from others, words in benchmark windows are cut out, with the gap before each.
 
-    All columns stay; rows without hits are unchanged.
+    All columns stay; rows without hits are unchanged. What was found is broadcast if its rows and words are counted to
+    be few (at most ``BROADCAST_ROWS`` and twenty times as many), so that texts stay where they are; else it is shuffled.
     """
-    found = contamination(docs, bench, id_col, text_col, **names).withColumnsRenamed({"key": "__key", "hit": "__hit", "items": "__items"})
-    rows = docs.withColumn("__key", _key(id_col, text_col)).join(found, "__key", "left")
-    rows = rows.where(F.col("__items").isNull() | (F.size("__items") < least_items))
-    text = F.col(text_col)
-    parts = F.regexp_extract_all(text, F.lit(f"{GAP}*{CASED}+"), F.lit(0))
+    rows_at_most = names.get("broadcast_rows", BROADCAST_ROWS)
+    key = fresh("key", docs.columns)
+    x = fresh("found", [*docs.columns, key])
+    found = cut(contamination(docs, bench, id_col, text_col, **names).select(F.col("key").alias(key), F.struct("hit", "items").alias(x)), "contaminated")
+    size = found.agg(F.count("*").alias("n"), F.sum(F.size(f"{x}.hit") + F.size(f"{x}.items")).alias("parts")).first()
+    if size["n"] <= rows_at_most and (size["parts"] or 0) <= 20 * rows_at_most:
+        found = F.broadcast(found)
+    rows = docs.withColumn(key, _key(id_col, text_col)).join(found, key, "left")
+    rows = rows.where(F.col(x).isNull() | (F.size(f"{x}.items") < least_items))
+    text, parts = F.col(text_col), fresh("parts", [*docs.columns, key, x])
+    rows = rows.withColumn(parts, F.when(F.col(x).isNotNull(), F.regexp_extract_all(text, F.lit(f"{GAP}*{CASED}+"), F.lit(0))))
     tail = F.regexp_extract(text, f"{GAP}*$", 0)
-    rows = rows.withColumn("__parts", F.when(F.col("__hit").isNotNull(), parts))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__hit")
-    less = F.concat(F.array_join(F.transform(kept, lambda i: F.get("__parts", i)), ""), tail)
-    return rows.withColumn(text_col, F.when(F.col("__hit").isNull(), text).otherwise(less)).select(*docs.columns)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), f"{x}.hit")
+    less = F.concat(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), ""), tail)
+    return rows.withColumn(text_col, F.when(F.col(x).isNull(), text).otherwise(less)).select(*docs.columns)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
