@@ -445,3 +445,128 @@ def test_extra_columns(spark):
     assert nearjoin.keep_one(d).columns == d.columns and nearjoin.keep_one(d).count() == 1
     assert decontam.clean(d, bench).columns == d.columns and decontam.contaminated(d, bench).count() == 2
     assert sharding.shard(d).count() == quality.rule_stats(d).count() == secretscan.redact(d).count() == pieces.encode_texts(d).count() == tokencount.count_tokens(d).count() == 2
+
+
+def test_guess_costs_against_every_segmentation():
+    """Brute force: the cheapest of all ways to cut a value, with each segment's cost stated on its own."""
+    import functools
+    import math
+
+    rank = {"pass": 1, "word": 2, "in": 3, "ab": 4}
+    rows, shifted = secretscan.KEY_ROWS, secretscan.SHIFTED
+    place = {c: (r, k) for r, row in enumerate(rows) for k, c in enumerate(row)} | {c: (0, k) for k, c in enumerate(shifted)}
+
+    def costs(value, i, j):
+        x, low = value[i:j], value[i:j].lower()
+        if len(x) == 1:
+            yield secretscan._brute_bits(x), False
+        if len(x) > 1 and low in rank:
+            yield math.log2(rank[low]) + (x != low), True
+        if re.fullmatch(r"(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?", x):
+            yield math.log2(86400 if len(x) > 5 else 1440), True
+        if re.fullmatch(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?", x):
+            yield math.log2(200 * (12 if len(x) > 4 else 1) * (31 if len(x) > 7 else 1)), True
+        if len(x) >= 3 and len(set(x)) == 1 and (i == 0 or value[i - 1] != x[0]):
+            yield secretscan._brute_bits(x[0]) + math.log2(len(x)), True
+        if len(x) >= 2 and value[max(0, i - len(x)) : i] == x:
+            yield 1.0, False
+        step = lambda a, b: (place[b][0] - place[a][0], place[b][1] - place[a][1]) if a in place and b in place else None
+        near = {(0, 1), (0, -1), (1, 0), (1, -1), (-1, 0), (-1, 1)}
+        ways = [step(a, b) for a, b in zip(low, low[1:])]
+        if len(x) >= 3 and set(ways) <= near and (i == 0 or step(value[i - 1].lower(), low[0]) not in near):
+            yield math.log2(47) + math.log2(len(x)) + 2 * sum(a != b for a, b in zip(ways, ways[1:])), True
+
+    def least(value):
+        @functools.cache
+        def best(j):
+            return 0.0 if j == 0 else min(best(i) + c + (apart and i > 0) for i in range(j) for c, apart in costs(value, i, j))
+
+        return best(len(value))
+
+    rnd = random.Random(12)
+    values = ["password", "abcdefghiabcdefghi", "1qaz2wsx", "!@#$%", "aaaa1999-12-31", "12:30:45", "Passin2020", "qwerfvgt"]
+    values += ["".join(rnd.choices(["pass", "word", "In", "ab", "1", "q", "w", "a", "aaa", "2019", "!", "Z", "12:30", "x9"], k=rnd.randrange(1, 7))) for _ in range(200)]
+    for v in values:
+        assert abs(secretscan.guess_bits(v, words=(rank, 4)) - least(v)) < 1e-9, v
+    assert secretscan.guess_bits("abcdefghiabcdefghi") < secretscan.guess_bits("abcdefghi") + 2 and secretscan.guess_bits("1qaz") < 14
+
+
+def test_fusion_against_brute_force(spark):
+    """Priors, declarations and texts of few pages, fused by plain loops."""
+    import math
+    from collections import defaultdict
+
+    langs, model = langid.train(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("aaa aab aba", "de"), ("bbb bba bab", "fr"), ("ccc cab bca", "en")] * 3)], "doc_id long, text string, lang string"))
+    rnd = random.Random(5)
+    rows = [(i, f"http://{rnd.choice(['a.x.de', 'b.x.de', 'c.org', 'd.e.fr'])}/{i}", f"<html{rnd.choice(['', ' lang=de', ' lang=fr', ' lang=xx'])}><p>{' '.join(rnd.choices(['aaa', 'aba', 'bbb', 'cab'], k=rnd.randrange(4)))}") for i in range(60)]
+    rows += [(60, None, None), (61, rows[0][1], rows[0][2]), (61, rows[0][1], rows[0][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r["page_id"], r["host"]): (r["lang"], r["declared"], round(r["confidence"], 6)) for r in langid.identify(pages, langs, model).collect()}
+    p, said, host = [], [], []
+    for _, url, html in rows:
+        x = langid.likelihoods(langid.visible((html or "").encode()), model)
+        e = [math.exp(v - max(x)) for v in x]
+        p.append([v / sum(e) for v in e])
+        d = (re.search("lang=(..)", html or "") or [None, "none"])[1]
+        said.append(d if d in (*langs, "none") else "other")
+        host.append(re.sub("^[^:]*://|/.*$", "", url or ""))
+    def level(k):
+        sums = defaultdict(lambda: [0.0] * len(langs))
+        for h, x in zip(host, p):
+            sums[k(h)] = [a + b for a, b in zip(sums[k(h)], x)]
+        return lambda i: [max(a - b, 0.0) for a, b in zip(sums[k(host[i])], p[i])]
+    suffix, domain = lambda h: h.split(".")[-1], lambda h: ".".join(h.split(".")[-2:])
+    levels = [level(lambda h: 0), level(suffix), level(lambda h: (domain(h), suffix(h))), level(lambda h: h)]
+    joint = {d: [sum(x[k] for x, s in zip(p, said) if s == d) for k in range(len(langs))] for d in set(said)}
+    every = [sum(x[k] for x in joint.values()) for k in range(len(langs))]
+    for i, r in enumerate(rows):
+        prior = [1 / len(langs)] * len(langs)
+        for c in levels:
+            own = c(i)
+            prior = [(a + langid.SMOOTHING * b) / (sum(own) + langid.SMOOTHING) for a, b in zip(own, prior)]
+        z = [math.log(p[i][k] + 1e-300) + math.log(prior[k] + 1e-12) + math.log((joint[said[i]][k] + 0.5) / (every[k] + 0.5 * (len(joint) + 1))) for k in range(len(langs))]
+        e = [math.exp(x - max(z)) for x in z]
+        assert got[r[0], host[i]] == (langs[z.index(max(z))], said[i], round(max(e) / sum(e), 6))
+
+
+def test_long_words_are_counted_without_nodes():
+    scores = {"a": -1.0, "ab": -1.5, "aba": -1.7, "b": -3.0, pieces.MARK: -2.0}
+    short, long = tokencount.PieceTrie(scores, -9.0), tokencount.PieceTrie(scores, -9.0)
+    for w in ("abaab" * 30, "ba" * 77, "xéab" * 20, "a"):
+        assert long.rolled(pieces.MARK + w) == short.insert(w.encode())
+    assert long.made == 0 and long.insert(b"ab" * tokencount.LONG) == 1 + tokencount.LONG * 2 // 4 * 2 or long.made == 0
+
+
+def test_groups_are_dealt_to_the_least_shard():
+    to, room = sharding.dealt([("a", 5), ("b", 9), ("c", 5), ("d", 1)], 2)
+    assert to == {"b": 0, "a": 1, "c": 1, "d": 0} and room == [10, 10]
+
+
+def test_equal_texts_share_a_shard(spark):
+    rnd = random.Random(3)
+    texts = [t for k in range(60) for t in [f"{k} " + "y" * rnd.randrange(400)] * rnd.choice([1, 2, 9])] + ["z" * 900] * 12
+    where = {}
+    for r in sharding.shard(docs(spark, texts), ranges=16, sample=256).collect():
+        where.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    total = sum(len(t) + 1 for t in texts)
+    assert all(len(s) == 1 for t, s in where.items() if texts.count(t) * (len(t) + 1) * 16 <= total)
+
+
+def test_extra_columns_of_other_operators(spark):
+    d = docs(spark, ["a b c d e f g h", None]).withColumn("page_id", F.col("doc_id")).withColumn("url", F.lit("http://x.de/a")).withColumn("html", F.col("text"))
+    for c in ("id", "key", "host", "path", "rule", "verdict", "declared", "domain", "suffix", "sha", "top", "again", "p", "h", "spans", "found", "parts"):
+        d = d.withColumn(c, F.lit(1))
+    langs, model = langid.train(d)
+    assert langid.identify(d, langs, model).count() == urlfilter.judge(d).count() == secretscan.find_secrets(d).count() == 2
+    assert quality.keep_good(d).columns == d.columns
+    assert warc.merge_index(warc.read_runs(spark, warc.write_warc(d, shared_dir(spark, "test-warc")))).count() == 2
+    bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    assert decontam.clean(d, bench).columns == d.columns
+    assert set(nearjoin.linked(d.select(F.col("doc_id").alias("n"), "text"), "n").columns) == {"n", "th", "n_", "component_id"}
+
+
+def test_history_of_captures_is_in_time_order(spark):
+    rows = [(i % 7, f"http://h.example/{i % 3}", f"<p>{i % 4}", f"2020-01-{1 + (i * 11) % 28:02d} 00:00:00") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, at string").withColumn("at", F.to_timestamp("at")).repartition(4)
+    got = warc.merge_index(warc.read_runs(spark, warc.write_warc(df, shared_dir(spark, "test-warc"), ts_col="at")), rows_per_range=7).collect()
+    assert len(got) == 60 and [warc.order_of(tuple(r)) for r in got] == sorted(warc.order_of(tuple(r)) for r in got) and len({r["ts"] for r in got}) > 20
