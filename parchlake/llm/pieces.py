@@ -30,11 +30,9 @@ from pyspark.sql import functions as F
 from .common import in_arrow, parts, table
 
 MARK = "▁"
-#: Remembered segments that a task may leave for the next one.
-LEFT = 50_000
-#: Segments that are remembered, characters of the texts that are encoded together, and symbols of the longest segment
+#: Segments that are remembered (a quarter of them stays when they are full, an eighth behind a task); characters of the texts that are encoded together, and symbols of the longest segment
 #: whose agenda is a matrix row.
-MOST, CHARACTERS, SHORT = 300_000, 1_000_000, 32
+MOST, CHARACTERS, SHORT = 800_000, 2_000_000, 32
 NEVER = 1 << 30
 
 
@@ -61,6 +59,7 @@ class Vocabulary:
             raise ValueError("a piece has the space mark inside; texts cannot be split at marks")
         self.breaks = not any("\n" in p for p in self.ids)
         self.memo: dict[str, bytes] = {}
+        self.most = MOST
         self.decimal = [b"%d," % i for i in range(len(self.pieces))]
         self.plain = len(self.byte_ids) == 256  # whatever no piece spells falls back to its bytes, so a text decodes to itself
         self._index()
@@ -108,10 +107,10 @@ class Vocabulary:
         out[found != keys] = self.base
         return out.reshape(left.shape)
 
-    def forget(self) -> None:
-        """Drops what is remembered beyond a small part; other operators' tasks run in the same worker afterwards."""
-        if len(self.memo) > LEFT:  # what came first is mostly frequent
-            self.memo = dict(islice(self.memo.items(), LEFT))
+    def forget(self, left: int) -> None:
+        """Drops what is remembered beyond a part; what came first, which is mostly frequent, stays."""
+        if len(self.memo) > left:
+            self.memo = dict(islice(self.memo.items(), left))
 
     def agenda(self, segment: str) -> list[int]:
         """Ids of one segment, by merging the best pair first; pairs that merging made stale are passed over."""
@@ -252,8 +251,8 @@ class Vocabulary:
             new = {w: made[x[0]] if len(x) == 1 else b"".join([made[y] for y in x]) for w, x in lines.items()}
             for got, k, w in lack:
                 got[k] = new[w]
-            if len(self.memo) + len(new) > MOST:
-                self.forget()
+            if len(self.memo) + len(new) > self.most:
+                self.forget(self.most // 4)
             # very long ones would make the bound on entries no bound on bytes
             self.memo |= new if max(map(len, new), default=0) <= 256 else {w: x for w, x in new.items() if len(w) <= 256}
             for got, text in zip(known, texts[first:at], strict=True):
@@ -275,13 +274,18 @@ def vocabulary(proto: bytes) -> Vocabulary:
     return _READ[key]
 
 
-def encode_texts(df: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", check: bool = True, numbers: bool = False) -> DataFrame:
-    """One row per input row: id, n_tokens, ids and decoded. ids: decimal and joined by commas, or an array (`numbers`)."""
+def encode_texts(df: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", check: bool = True, numbers: bool = False, remember: int = MOST) -> DataFrame:
+    """One row per input row: id, n_tokens, ids and decoded. ids: decimal and joined by commas, or an array (`numbers`).
+
+    remember: segments that a worker keeps (about 200 bytes each); with fewer of them, more are encoded again, and the
+    worker keeps none behind a task.
+    """
     proto = df.sparkSession.sparkContext.broadcast(open(model_path or default_model(), "rb").read())
     kind = dict(df.dtypes)[id_col]
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         v = vocabulary(proto.value)
+        v.most = remember
         texts = [t or "" for t in b.column(1).to_pylist()]
         made, decoded, n, made_of = [], [], [], v.encoded(texts)
         gc.disable()  # nothing here makes cycles, and a collection would walk through all that is remembered
@@ -311,7 +315,10 @@ def encode_texts(df: DataFrame, model_path: str | None = None, id_col: str = "do
             for b in parts(batches):
                 yield fn(b)
         finally:
-            vocabulary(proto.value).forget()
+            if remember < MOST:  # memory matters more than the time to read the vocabulary again
+                _READ.clear()
+            else:
+                vocabulary(proto.value).forget(remember // 8)  # other tasks run in the same worker afterwards
 
     out = in_arrow(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, n_tokens long, ids {'array<int>' if numbers else 'string'}, decoded string")
     return out.withColumnRenamed("id", id_col)
