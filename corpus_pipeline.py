@@ -45,8 +45,7 @@ def stage_mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def stage_tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pieces.encode_texts(docs)
-    return out.select("doc_id", "n_tokens", F.transform(F.filter(F.split("ids", ","), lambda x: x != ""), lambda x: x.cast("int")).alias("ids"))
+    return pieces.encode_texts(docs, numbers=True, remember=200_000).select("doc_id", "n_tokens", "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
