@@ -124,9 +124,16 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     return spans.join(items, "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
 
 
+def _held(found: DataFrame, rows: int, hit: str = "hit", items: str = "items") -> DataFrame:
+    """What `contamination` found as a table, broadcast if its rows and words are counted to be few."""
+    found = cut(found, "contaminated")
+    size = found.agg(F.count("*").alias("n"), F.sum(F.size(hit) + F.size(items)).alias("parts")).first()
+    return F.broadcast(found) if size["n"] <= rows and (size["parts"] or 0) <= 20 * rows else found
+
+
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_items: int = 2, **names) -> DataFrame:  # noqa: ANN003
     """One row per input row: id, n_words, n_hit, n_items, items, contaminated."""
-    found = contamination(docs, bench, id_col, text_col, **names)
+    found = _held(contamination(docs, bench, id_col, text_col, **names), names.get("broadcast_rows", BROADCAST_ROWS))
     base = docs.select(F.col(id_col), _key(id_col, text_col).alias("key"), F.coalesce(F.size(F.regexp_extract_all(F.col(text_col), F.lit(CASED + "+"), F.lit(0))), F.lit(0)).alias("n"))
     base = base.withColumn("n", F.greatest("n", F.lit(0)))
     out = base.join(found, "key", "left")
@@ -144,13 +151,10 @@ def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     All columns stay; rows without hits are unchanged. What was found is broadcast if its rows and words are counted to
     be few (at most ``BROADCAST_ROWS`` and twenty times as many), so that texts stay where they are; else it is shuffled.
     """
-    rows_at_most = names.get("broadcast_rows", BROADCAST_ROWS)
     key = fresh("key", docs.columns)
     x = fresh("found", [*docs.columns, key])
-    found = cut(contamination(docs, bench, id_col, text_col, **names).select(F.col("key").alias(key), F.struct("hit", "items").alias(x)), "contaminated")
-    size = found.agg(F.count("*").alias("n"), F.sum(F.size(f"{x}.hit") + F.size(f"{x}.items")).alias("parts")).first()
-    if size["n"] <= rows_at_most and (size["parts"] or 0) <= 20 * rows_at_most:
-        found = F.broadcast(found)
+    found = contamination(docs, bench, id_col, text_col, **names).select(F.col("key").alias(key), F.struct("hit", "items").alias(x))
+    found = _held(found, names.get("broadcast_rows", BROADCAST_ROWS), f"{x}.hit", f"{x}.items")
     rows = docs.withColumn(key, _key(id_col, text_col)).join(found, key, "left")
     rows = rows.where(F.col(x).isNull() | (F.size(f"{x}.items") < least_items))
     text, parts = F.col(text_col), fresh("parts", [*docs.columns, key, x])
