@@ -23,9 +23,10 @@ from .common import cut, fresh, table
 
 K, W, N = 5, 4, 8
 BROADCAST_ROWS = 200_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ in a positive form, which Java matches over ten times as fast.
+WORD = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 #: The same words before A-Z are lower-cased, and all else.
-CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+CASED = r"[a-zA-Z0-9\x{80}-\x{10FFFF}]"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -570,3 +570,13 @@ def test_history_of_captures_is_in_time_order(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, at string").withColumn("at", F.to_timestamp("at")).repartition(4)
     got = warc.merge_index(warc.read_runs(spark, warc.write_warc(df, shared_dir(spark, "test-warc"), ts_col="at")), rows_per_range=7).collect()
     assert len(got) == 60 and [warc.order_of(tuple(r)) for r in got] == sorted(warc.order_of(tuple(r)) for r in got) and len({r["ts"] for r in got}) > 20
+
+
+def test_word_pattern(spark):
+    """The pattern for words takes just the characters that its contract names, case aside."""
+    texts = ["".join(map(chr, range(at, at + 0x800))) for at in [*range(0, 0xD800, 0x800), 0xE000, 0xF800, 0x10000, 0x1F400, 0x10F800]]
+    d = docs(spark, texts).select(decontam.words(F.col("text")).alias("w"), F.regexp_count("text", F.lit(decontam.CASED + "+")).alias("n"), "doc_id")
+    lower = str.maketrans(decontam.UPPER, decontam.LOWER)
+    for r in d.collect():
+        want = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r["doc_id"]].translate(lower))
+        assert (list(r["w"]), r["n"]) == (want, len(want))
