@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-BYTES = 8 << 20
+BYTES = 2 << 20
 _SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
