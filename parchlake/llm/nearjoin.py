@@ -36,7 +36,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from itertools import combinations
+from itertools import chain, combinations, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,8 @@ BAND, ORDERS = 1.12, 4
 FREQUENT = 16
 #: Chunks of the table, each summed as one, and the largest size that the boundary depends on.
 CHUNKS, SIZES = 1 << 12, 500
+#: Bytes of a batch of these that a worker sends.
+SENT = 1 << 20
 BROADCAST_ROWS, LOCAL_LINKS = 1_000_000, 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -155,6 +158,20 @@ def table_bits(rows: int) -> int:
     return min(max((64 * rows).bit_length(), 24), 26)
 
 
+def _sums(rows: Iterable[tuple[int, int, bytes | None]]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, n, x) as Arrow batches of about ``SENT`` bytes: a whole table at once would weigh on the worker and, sent, on its JVM."""
+    held, size = [], 0
+    kinds = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("x", pa.binary())])
+    for r in rows:
+        held.append(r)
+        size += 32 + len(r[2] or b"")
+        if size >= SENT:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
+
+
 def _survey(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
     """The table of frequent shingles (a bit for each part) and the boundary, from counts over all documents."""
     bits = table_bits(docs.count())
@@ -168,28 +185,28 @@ def _survey(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
                 sizes += np.bincount([len(s) for s in sets if len(s) <= SIZES], minlength=SIZES + 1)
                 part, n = np.unique(np.sort((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.uint32)), return_counts=True)
                 counts[part] = np.minimum(counts[part] + n, 65535)
-        rows = [(-1 - int(k), int(sizes[k]), None) for k in np.flatnonzero(sizes)]
         at = np.flatnonzero(counts)
         ends = np.searchsorted(at, np.arange(0, (1 << bits) + 1, chunk))
-        for k in np.flatnonzero(np.diff(ends)).tolist():
-            own = at[ends[k] : ends[k + 1]]
-            rows.append((k, 0, np.stack([own % chunk, counts[own]]).astype(np.uint16).tobytes()))
-        yield pa.RecordBatch.from_pylist([dict(zip("knx", r, strict=True)) for r in rows], pa.schema([("k", pa.int64()), ("n", pa.int64()), ("x", pa.binary())]))
+        own = ((k, at[ends[k] : ends[k + 1]]) for k in np.flatnonzero(np.diff(ends)).tolist())
+        yield from _sums(chain(((-1 - int(k), int(sizes[k]), None) for k in np.flatnonzero(sizes)), ((k, 0, np.stack([i % chunk, counts[i]]).astype(np.uint16).tobytes()) for k, i in own)))
 
     def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        sizes: dict[int, int] = {}
-        for b in batches:
-            for k, n, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if x is None:
-                    sizes[k] = sizes.get(k, 0) + n
-                else:
-                    own, more = np.frombuffer(x, np.uint16).reshape(2, -1)
-                    sums.setdefault(k, np.zeros(chunk, np.int64))[own] += more
-        yield pa.RecordBatch.from_arrays([pa.array([*sizes, *sums], pa.int64()), pa.array([*sizes.values(), *(int(x.sum()) for x in sums.values())], pa.int64()), pa.array([None] * len(sizes) + [x.tobytes() for x in sums.values()], pa.binary())], ["k", "n", "x"])
+        """Rows come in the order of k, so the counts of one chunk are held at a time."""
+
+        def of(k: int, rows: Iterable[tuple]) -> tuple:
+            if k < 0:
+                return k, sum(n for _, n, _ in rows), None
+            out = np.zeros(chunk, np.int64)
+            for _, _, x in rows:
+                own, more = np.frombuffer(x, np.uint16).reshape(2, -1)
+                out[own] += more
+            return k, int(out.sum()), out.tobytes()
+
+        rows = chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
+        yield from _sums(of(k, own) for k, own in groupby(rows, itemgetter(0)))
 
     schema = "k long, n long, x binary"
-    counts = cut(in_arrow(in_arrow(docs.select(F.col(text_col).alias("text")), fn, schema).repartition("k"), total, schema), "shingle-counts")
+    counts = cut(in_arrow(in_arrow(docs.select(F.col(text_col).alias("text")), fn, schema).repartition("k").sortWithinPartitions("k"), total, schema), "shingle-counts")
     rows = counts.select("k", "n").collect()  # one for each size and chunk
     chance = sum(r["n"] for r in rows if r["k"] >= 0) / (1 << bits)
     least = FREQUENT + chance + 6 * chance**0.5

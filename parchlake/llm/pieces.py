@@ -274,6 +274,11 @@ def vocabulary(proto: bytes) -> Vocabulary:
     return _READ[key]
 
 
+def drop_vocabularies() -> None:
+    """Only a function of this module reaches its dict: those made inside others are sent to workers with a copy of it."""
+    _READ.clear()
+
+
 def encode_texts(df: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", check: bool = True, numbers: bool = False, remember: int = MOST) -> DataFrame:
     """One row per input row: id, n_tokens, ids and decoded. ids: decimal and joined by commas, or an array (`numbers`).
 
@@ -316,7 +321,7 @@ def encode_texts(df: DataFrame, model_path: str | None = None, id_col: str = "do
                 yield fn(b)
         finally:
             if remember < MOST:  # memory matters more than the time to read the vocabulary again
-                _READ.clear()
+                drop_vocabularies()
             else:
                 vocabulary(proto.value).forget(remember // 8)  # other tasks run in the same worker afterwards
 

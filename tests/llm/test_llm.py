@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,21 @@ def test_pieces(spark):
     assert all(np.frombuffer(x, np.int32).tolist() == own.agenda(w) for w, x in own.agendas(words).items())
 
 
+def test_vocabularies_behind_a_task(spark, tmp_path):
+    """A worker keeps the vocabulary for its next task if memory is no matter, and drops it otherwise."""
+
+    def held(key):
+        seen = lambda batches: (pa.RecordBatch.from_pydict({"x": [key in pieces._READ]}) for b in batches)
+        return any(r["x"] for r in spark.range(0, 64, 1, 16).mapInArrow(seen, "x boolean").collect())
+
+    for value, remember in ((1, pieces.MOST), (2, 1000)):
+        model = open(pieces.default_model(), "rb").read() + b"\xb0\x09" + bytes([value])  # a field that no reader knows
+        (tmp_path / "own.model").write_bytes(model)
+        got = pieces.encode_texts(docs(spark, ODD * 8), str(tmp_path / "own.model"), numbers=True, remember=remember)
+        assert got.count() == 8 * len(ODD) and sum(r["n_tokens"] for r in got.collect()) > 0
+        assert held(hashlib.sha256(model).hexdigest()) == (remember == pieces.MOST)
+
+
 def test_token_counts(spark):
     v = pieces.vocabulary(open(pieces.default_model(), "rb").read())
     scores, byte = tokencount.zipf_scores(v)
@@ -324,6 +340,33 @@ def test_passages_once_a_batch_are_frequent(spark):
     assert at(passage).all() and frequent.sum() == 16 and not at(" ".join(f"own0x{k}" for k in range(30))).any()
 
 
+def test_counts_are_sent_in_small_batches(spark, monkeypatch):
+    """The counts of all shingles (134 MB or more) never leave a worker, or enter one, as one batch."""
+    from parchlake.llm import common
+
+    sent, made = spark.sparkContext.accumulator(0), []
+
+    def watched(df, fn, schema):
+        def run(batches):
+            for b in fn(batches):
+                sent.add(b.nbytes > 4 << 20)
+                yield b
+
+        made.append(schema)
+        return common.in_arrow(df, run, schema)
+
+    monkeypatch.setattr(nearjoin, "in_arrow", watched)
+    texts = corpus(3, 200)
+    frequent, boundary = nearjoin._survey(docs(spark, texts).coalesce(1), "text")
+    assert len(made) == 2 and sent.value == 0
+    bits = nearjoin.table_bits(len(texts))
+    counts = np.bincount(np.concatenate([nearjoin.shingles(t.encode()) for t in set(texts)]) >> np.uint64(64 - bits), minlength=1 << bits)
+    chance = counts.sum() / (1 << bits)
+    assert (np.unpackbits(frequent) == (counts >= nearjoin.FREQUENT + chance + 6 * chance**0.5)).all() and frequent.any()
+    sizes = [len(nearjoin.shingles(t.encode())) for t in set(texts)]
+    assert boundary == nearjoin.boundary_by_cost({n: sizes.count(n) for n in set(sizes) if n <= nearjoin.SIZES})
+
+
 def test_quality(spark):
     rnd = random.Random(4)
     texts = [*ODD, *(" ".join(rnd.choices(["a", "bb", "c*", "dé", "\n", "x y\n"], k=rnd.randrange(200))) for _ in range(60)), "clean words " + " ".join(f"w{i}x" for i in range(80))]
