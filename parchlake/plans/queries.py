@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings
+from ..functions.batches import bounded, spread
 from ..functions.chunking import chunk_documents, chunk_texts
 from ..kernel import crypt, edit, filters
 from ..kernel.document import Document
@@ -386,7 +387,8 @@ def f_stream_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append(hashlib.md5(filters.decode_stream(d, raw)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["doc_id", "md5"])
 
-    return _table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(fn, "doc_id long, md5 string")
+    bounded(spark)
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(fn, "doc_id long, md5 string")
 
 
 @query(_FOLD + r""", lines AS (SELECT conv_id, chunk_id + 1 AS line_no, 'chunk' AS kind, page_start, text, NULL::INT AS page_count FROM chunks
@@ -432,7 +434,8 @@ def f_predictors(spark: SparkSession, sf_dir: str) -> DataFrame:
                     out.append({"doc_id": i, "kind": kind, "md5": hashlib.md5(filters.decode_stream(d, filters.deflate(held))).hexdigest()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("md5", pa.string())]))
 
-    return _table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(fn, "doc_id long, kind string, md5 string")
+    bounded(spark)
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(fn, "doc_id long, kind string, md5 string")
 
 
 @query(r"SELECT item_id, version, regexp_replace(text, '[ \n]+$', '') AS by_user, regexp_replace(text, '[ \n]+$', '') AS by_owner, 'WRONG_PASSWORD' AS with_wrong FROM benchmark, (VALUES (1), (2), (4)) v(version)")

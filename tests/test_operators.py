@@ -117,3 +117,10 @@ def test_arguments_of_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([("1-2", 3, "kept")], "s string, n int, ends string")
     got = pages.parse_ranges(df, "s", "n").first()
     assert got["ends"] == "kept" and got["pages"] == [0, 1]
+
+
+def test_predictors_are_dealt_out(spark):
+    from parchlake.plans.queries import QUERIES
+
+    for name in ("f_predictors", "f_stream_filters"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().count() > 1, name
