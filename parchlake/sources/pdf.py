@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..functions.batches import bounded
+from ..functions.batches import batched, bounded, spread
 from ..kernel import edit, text
 from ..kernel.document import Document
 from ..kernel.model import PdfError, edges, serialize
@@ -87,13 +87,11 @@ def read_bytes(files: DataFrame, level: str = "text", path_col: str = "path", co
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
+    size = lambda row: len(row.get("text") or "") + len(row.get("raw") or b"")
 
     def fn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content, pw in zip(*b.columns, strict=True):
-                rows = list(rows_of(level, path.as_py(), content.as_py() or b"", pw.as_py() or ""))
-                for k in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_pylist(rows[k : k + 1000], schema=arrow)
+            yield from batched(((row, size(row)) for path, content, pw in zip(*b.columns, strict=True) for row in rows_of(level, path.as_py(), content.as_py() or b"", pw.as_py() or "")), arrow)
 
     pw = F.col(password_col) if password_col else F.lit("")
     bounded(files.sparkSession)
@@ -110,17 +108,19 @@ def _outputs(files: DataFrame, made: Callable[..., Iterable], path_col: str, con
     schema = "path string, part int, content binary, error struct<code:string,message:string>"
     arrow = pa.schema([("path", pa.string()), ("part", pa.int32()), ("content", pa.binary()), ("error", pa.struct([("code", pa.string()), ("message", pa.string())]))])
 
+    def rows(path: pa.Scalar, content: pa.Scalar, pw: pa.Scalar, own: list[pa.Scalar]) -> Iterator[tuple[dict, int]]:
+        k = 0
+        try:
+            for done in made(Document.load(content.as_py() or b"", pw.as_py() or ""), *(x.as_py() for x in own)):
+                out = done if isinstance(done, bytes) else done.to_bytes()
+                yield {"path": path.as_py(), "part": k, "content": out}, len(out)
+                k += 1
+        except FAULTS as e:
+            yield {"path": path.as_py(), "part": k, "error": _failed(e)}, 0
+
     def fn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content, pw, *own in zip(*b.columns, strict=True):
-                k = 0
-                try:
-                    for done in made(Document.load(content.as_py() or b"", pw.as_py() or ""), *(x.as_py() for x in own)):
-                        out = done if isinstance(done, bytes) else done.to_bytes()
-                        yield pa.RecordBatch.from_pylist([{"path": path.as_py(), "part": k, "content": out}], arrow)
-                        k += 1
-                except FAULTS as e:
-                    yield pa.RecordBatch.from_pylist([{"path": path.as_py(), "part": k, "error": _failed(e)}], arrow)
+            yield from batched((row for path, content, pw, *own in zip(*b.columns, strict=True) for row in rows(path, content, pw, own)), arrow)
 
     bounded(files.sparkSession)
     pw = F.col(password_col).cast("string") if password_col else F.lit(password)
@@ -168,22 +168,23 @@ def write_text_pdfs(pages: DataFrame, doc_col: str, page_col: str, text_col: str
     return _written(docs, doc_col)
 
 
-def write_texts(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
-    """(doc, content): a file of one page for each row, without a shuffle; repeated ids give several files."""
-    page = F.struct(F.lit(0).alias("p"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return _written(docs.select(F.col(doc_col).alias("doc"), F.array(page).alias("pages")), doc_col)
+def write_texts(docs: DataFrame, doc_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, content, *keep): a file of one page for each row, with these of its columns; the rows are dealt out anew.
+    Repeated ids give several files."""
+    rows = spread(docs.select(F.col(doc_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *keep))
+    return _written(rows.select("doc", F.array(F.struct(F.lit(0).alias("p"), "t")).alias("pages"), *keep), doc_col)
 
 
 def _written(docs: DataFrame, doc_col: str) -> DataFrame:
-    kind = dict(docs.dtypes)["doc"]
+    kinds = docs.select("doc", F.lit(b"").alias("content"), *docs.columns[2:]).schema
 
     def fn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [edit.text_document([x["t"] for x in p]).to_bytes() for p in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc", "content"])
+            yield b.set_column(1, "content", pa.array(made, pa.binary()))
 
     bounded(docs.sparkSession)
-    return docs.mapInArrow(fn, f"doc {kind}, content binary").withColumnRenamed("doc", doc_col)
+    return docs.mapInArrow(fn, kinds).withColumnRenamed("doc", doc_col)
 
 
 def _tupled(v: object) -> object:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from parchlake import api
 from parchlake.functions import strings
+from parchlake.functions.batches import batched
 from parchlake.functions.chunking import chunk_documents
 from parchlake.kernel import crypt, edit
 from parchlake.operators import graph, pages
@@ -124,3 +126,16 @@ def test_predictors_are_dealt_out(spark):
 
     for name in ("f_predictors", "f_stream_filters"):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().count() > 1, name
+
+
+def test_slow_work_is_dealt_out(spark):
+    one = spark.range(40).selectExpr("id AS doc_id", "'text' AS text", "'kept' AS more").coalesce(1)
+    files = pdf.write_texts(one, "doc_id", "text")
+    assert files.rdd.getNumPartitions() > 1 and files.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_batches_hold_many_files(spark):
+    files = pdf.write_texts(spark.range(30).selectExpr("id AS n", "'x' AS t"), "n", "t").coalesce(1).withColumn("path", F.col("n").cast("string"))
+    assert pdf.read_bytes(files).count() == 30
+    made = list(batched((({"a": k}, 1 << 20) for k in range(5)), pa.schema([("a", pa.int64())])))
+    assert [b.num_rows for b in made] == [2, 2, 1]
