@@ -481,7 +481,7 @@ def m_file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = _table(spark, sf_dir, "documents")
     update = F.to_json(F.struct(F.col("lang").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("author"), F.lit("gone é").alias("subject")))
-    files = pdf.write_texts(d.withColumn("none", F.lit("")), "doc_id", "none").join(d.select("doc_id", update.alias("update")), "doc_id").withColumn("path", F.col("doc_id").cast("string"))
+    files = pdf.write_texts(d.select("doc_id", F.lit("").alias("none"), update.alias("update")), "doc_id", "none", keep=("update",)).withColumn("path", F.col("doc_id").cast("string"))
     change = lambda doc, new: api.set_metadata(api.set_metadata(doc.to_bytes(), new), {"subject": ""})
     got = pdf.read_bytes(pdf.transform_bytes(files, change, args=("update",)), "meta")
     return got.select(F.col("path").cast("long").alias("doc_id"), "metadata.title", "metadata.author", "metadata.subject")

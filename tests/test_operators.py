@@ -139,3 +139,12 @@ def test_batches_hold_many_files(spark):
     assert pdf.read_bytes(files).count() == 30
     made = list(batched((({"a": k}, 1 << 20) for k in range(5)), pa.schema([("a", pa.int64())])))
     assert [b.num_rows for b in made] == [2, 2, 1]
+
+
+def test_metadata_of_repeated_ids(spark, tmp_path):
+    from parchlake.plans.queries import QUERIES
+
+    rows = [(1, "en", "a"), (2, "de", "b"), (2, "fr", "c")]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["doc_id"], r["title"], r["author"], r["subject"]) for r in QUERIES["m_file_metadata"](spark, str(tmp_path)).collect())
+    assert got == [(1, "en", None, None), (2, "de", "b", None), (2, "fr", "c", None)]
