@@ -28,6 +28,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n, F.xxhash64(*df.columns))
 
 
+def parts(sizes: Iterable[int]) -> Iterator[slice]:
+    """Runs of items, each ended by the item that makes ``BYTES``, as soon as it is there."""
+    at = end = size = 0
+    for n in sizes:
+        end, size = end + 1, size + n
+        if size >= BYTES:
+            yield slice(at, end)
+            at, size = end, 0
+    if end > at:
+        yield slice(at, end)
+
+
 def batched(rows: Iterable[tuple[dict, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Batches of rows that come with their sizes: of at most 1,000 rows, and ended by the row that makes ``BYTES``."""
     held, size = [], 0

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..functions.batches import batched, bounded, spread
+from ..functions.batches import batched, bounded, parts, spread
 from ..kernel import edit, text
 from ..kernel.document import Document
 from ..kernel.model import PdfError, edges, serialize
@@ -150,13 +150,20 @@ def merge_bytes(files: DataFrame, group_col: str, order_col: str, content_col: s
 
     def fn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                out = err = None
-                try:
-                    out = edit.merge([Document.load(p["c"]) for p in b.column(1)[k].as_py()]).to_bytes()
-                except FAULTS as e:
-                    err = _failed(e)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([out], pa.binary()), pa.array([err], error)], ["grp", "content", "error"])
+            made: list[tuple[bytes | None, dict | None]] = []
+
+            def sizes(b: pa.RecordBatch = b, made: list = made) -> Iterator[int]:
+                for group in b.column(1):
+                    try:
+                        made.append((edit.merge([Document.load(p["c"].as_py()) for p in group]).to_bytes(), None))
+                    except FAULTS as e:
+                        made.append((None, _failed(e)))
+                    yield len(made[-1][0] or b"")
+
+            for s in parts(sizes()):
+                out, err = zip(*made, strict=True)
+                made.clear()
+                yield pa.RecordBatch.from_arrays([b.column(0)[s], pa.array(out, pa.binary()), pa.array(err, error)], ["grp", "content", "error"])
 
     bounded(files.sparkSession)
     return rows.mapInArrow(fn, f"grp {kind}, content binary, error struct<code:string,message:string>").withColumnRenamed("grp", group_col)
@@ -180,8 +187,17 @@ def _written(docs: DataFrame, doc_col: str) -> DataFrame:
 
     def fn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [edit.text_document([x["t"] for x in p]).to_bytes() for p in b.column(1).to_pylist()]
-            yield b.set_column(1, "content", pa.array(made, pa.binary()))
+            made: list[bytes] = []
+
+            def sizes(b: pa.RecordBatch = b, made: list = made) -> Iterator[int]:
+                for pages in b.column(1):
+                    made.append(edit.text_document([x["t"] for x in pages.as_py()]).to_bytes())
+                    yield len(made[-1])
+
+            for s in parts(sizes()):
+                done = pa.array(made, pa.binary())
+                made.clear()
+                yield b[s].set_column(1, "content", done)
 
     bounded(docs.sparkSession)
     return docs.mapInArrow(fn, kinds).withColumnRenamed("doc", doc_col)

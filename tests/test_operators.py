@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parchlake import api
 from parchlake.functions import strings
-from parchlake.functions.batches import batched
+from parchlake.functions.batches import BYTES, batched, parts
 from parchlake.functions.chunking import chunk_documents
 from parchlake.kernel import crypt, edit
 from parchlake.operators import graph, pages
@@ -148,3 +148,31 @@ def test_metadata_of_repeated_ids(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((r["doc_id"], r["title"], r["author"], r["subject"]) for r in QUERIES["m_file_metadata"](spark, str(tmp_path)).collect())
     assert got == [(1, "en", None, None), (2, "de", "b", None), (2, "fr", "c", None)]
+
+
+def test_parts_end_as_soon_as_they_are_full():
+    asked = []
+
+    def sizes():
+        for n in (BYTES, 1, BYTES, 1):
+            asked.append(n)
+            yield n
+
+    assert [(s, len(asked)) for s in parts(sizes())] == [(slice(0, 1), 1), (slice(1, 3), 3), (slice(3, 4), 4)]
+
+
+def test_merged_groups_share_batches(spark, monkeypatch):
+    one = edit.text_document(["x"]).to_bytes()
+    files = spark.createDataFrame([(k // 2, k, b"no pdf" if k == 5 else one) for k in range(20)], "g long, k long, content binary").coalesce(1)
+    seen, kept = [], pa.RecordBatch.from_arrays
+
+    def apart(df, fn, schema):
+        b = kept([pa.array([0, 1, 2]), pa.array([[{"o": 0, "c": one}], [{"o": 0, "c": b"no pdf"}], [{"o": 0, "c": one}] * 2])], ["grp", "parts"])
+        seen.extend(fn([b]))
+        return real(df, fn, schema)
+
+    real = type(files).mapInArrow
+    monkeypatch.setattr(type(files), "mapInArrow", apart)
+    got = {r["g"]: (r["content"] is None, r["error"] and r["error"]["code"]) for r in pdf.merge_bytes(files, "g", "k").collect()}
+    assert got == {k: (k == 2, "NOT_A_PDF" if k == 2 else None) for k in range(10)}
+    assert [b.num_rows for b in seen] == [3] and [x is None for x in seen[0].column(1).to_pylist()] == [False, True, False]
